@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from recordmill.functions.hashing import _col
 Rule = tuple[str, Sequence[str]]
 
 # ASCII word edges: the same in every regex engine, also next to accented letters.
-EDGE_LEFT = "(^|[^0-9A-Za-z_])"
-EDGE_RIGHT = "($|[^0-9A-Za-z_])"
+EDGE_LEFT = "(?<![0-9A-Za-z_])"
+EDGE_RIGHT = "(?![0-9A-Za-z_])"
 SPACE = "[ \\t\\r\\n\\f]"
 
 
@@ -24,11 +25,17 @@ def keyword_pattern(words: Sequence[str], plural: bool = True) -> str:
 
 
 def keyword_class(text: Column | str, rules: Sequence[Rule], plural: bool = True) -> Column:
-    """First category in rule order whose keywords occur as words; null if none does."""
+    """First category in rule order whose keywords occur as words; null if none does.
+
+    A plain substring test comes first: it is a byte scan, and most texts need no regex after it.
+    """
     lowered = F.lower(_col(text))
-    return F.coalesce(
-        *[F.when(lowered.rlike(keyword_pattern(ws, plural)), F.lit(cat)) for cat, ws in rules]
-    )
+
+    def occurs(words: Sequence[str]) -> Column:
+        some = reduce(lambda a, b: a | b, [lowered.contains(w) for w in words])
+        return some & lowered.rlike(keyword_pattern(words, plural))
+
+    return F.coalesce(*[F.when(occurs(ws), F.lit(cat)) for cat, ws in rules])
 
 
 def tiered_class(*tiers: Column, default: str = "unknown") -> Column:
