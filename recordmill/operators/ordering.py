@@ -1,4 +1,4 @@
-"""Row numbers and running sums over groups of any size.
+"""Row numbers, running sums and running minima over groups of any size.
 
 A Spark window sorts one group in one task. That is right for groups known to be small; a group
 that may hold a third of a very large table needs another way. Both operators below first count
@@ -29,20 +29,21 @@ def running(
     number: str | None = None,
     before: dict[str, str] | None = None,
     upto: dict[str, str] | None = None,
+    lowest: dict[str, str] | None = None,
     plain_rows: int | None = None,
 ) -> DataFrame:
-    """Add a 1-based row number and/or exclusive (``before``) and inclusive (``upto``) sums.
+    """Add a 1-based row number, exclusive (``before``) or inclusive (``upto``) sums, or minima.
 
-    ``before``/``upto`` map the new column to the summed column. ``order`` must be a total order
+    ``before``/``upto``/``lowest`` map the new column to the source column. ``order`` must be a total order
     inside a group wherever ``number`` is used.
     """
-    before, upto = before or {}, upto or {}
+    before, upto, lowest = before or {}, upto or {}, lowest or {}
     limit = PLAIN_WINDOW_ROWS if plain_rows is None else plain_rows
     sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
     largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
     if (largest or 0) <= limit:
-        return _within(df, list(part), order, number, before, upto)
-    return _sliced(df, list(part), order, number, before, upto, total, max(limit, 1))
+        return _within(df, list(part), order, number, before, upto, lowest)
+    return _sliced(df, list(part), order, number, before, upto, lowest, total, max(limit, 1))
 
 
 def row_numbers(
@@ -55,18 +56,19 @@ def row_numbers(
     return running(df, part, order, number=out, plain_rows=plain_rows)
 
 
-def _within(df, part, order, number, before, upto) -> DataFrame:
+def _within(df, part, order, number, before, upto, lowest) -> DataFrame:
     w = W.partitionBy(*(part or [F.lit(0)])).orderBy(*order)
     past = w.rowsBetween(W.unboundedPreceding, -1)
     here = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     cols = {out: F.coalesce(F.sum(c).over(past), F.lit(0)) for out, c in before.items()}
     cols |= {out: F.sum(c).over(here) for out, c in upto.items()}
+    cols |= {out: F.min(c).over(here) for out, c in lowest.items()}
     if number:
         cols[number] = F.row_number().over(w).cast("bigint")
     return df.withColumns(cols)
 
 
-def _sliced(df, part, order, number, before, upto, total, limit) -> DataFrame:
+def _sliced(df, part, order, number, before, upto, lowest, total, limit) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // limit + 1)
     ranged = df.repartitionByRange(min(n, 50_000), *[F.col(p) for p in part], *order)
@@ -74,8 +76,11 @@ def _sliced(df, part, order, number, before, upto, total, limit) -> DataFrame:
     sliced = materialize(ranged.withColumn("__slice", F.spark_partition_id()), "slices")
 
     summed = {c: f"__t_{i}" for i, c in enumerate(dict.fromkeys([*before.values(), *upto.values()]))}
+    least = {c: f"__m_{i}" for i, c in enumerate(dict.fromkeys(lowest.values()))}
     totals = sliced.groupBy(*part, "__slice").agg(
-        F.count(F.lit(1)).alias("__t_n"), *[F.sum(c).alias(t) for c, t in summed.items()]
+        F.count(F.lit(1)).alias("__t_n"),
+        *[F.sum(c).alias(t) for c, t in summed.items()],
+        *[F.min(c).alias(t) for c, t in least.items()],
     )
     # At most one row per (group, slice).
     earlier = (
@@ -88,13 +93,15 @@ def _sliced(df, part, order, number, before, upto, total, limit) -> DataFrame:
             F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(t)
             for t in ["__t_n", *summed.values()]
         ],
+        *[F.min(t).over(earlier).alias(t) for t in least.values()],
     )
     on = [F.col("__slice") == F.col("__s")]
     on += [F.col(p).eqNullSafe(F.col(f"__p_{i}")) for i, p in enumerate(part)]
-    out = _within(sliced, [*part, "__slice"], order, number, before, upto)
+    out = _within(sliced, [*part, "__slice"], order, number, before, upto, lowest)
     out = out.join(starts, reduce(lambda a, b: a & b, on), "left")
     cols = {o: F.col(o) + F.col(summed[c]) for o, c in {**before, **upto}.items()}
+    cols |= {o: F.least(F.col(o), F.col(least[c])) for o, c in lowest.items()}
     if number:
         cols[number] = F.col(number) + F.col("__t_n")
-    keep = [*df.columns, *before, *upto, *([number] if number else [])]
+    keep = [*df.columns, *before, *upto, *lowest, *([number] if number else [])]
     return out.withColumns(cols).select(*keep)
