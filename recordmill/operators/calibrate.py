@@ -45,7 +45,7 @@ def reliability_bins(
     )
     every = F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1)))
     base = found.select(*cells).distinct() if cells else df.sparkSession.range(1).select()
-    grid = base.select(*cells, every.cast("int").alias("bin"))
+    grid = base.select(*cells, every.alias("bin"))
     out = grid.join(found, [*cells, "bin"], "left")
     return out.select(
         *cells, "bin", (F.col("bin") / n_bins).alias("lo"), ((F.col("bin") + 1) / n_bins).alias("hi"),

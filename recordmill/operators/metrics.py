@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from recordmill.functions.hashing import hash_unit
 from recordmill.operators.ordering import running
 from recordmill.operators.ranks import rank_table
+from recordmill.session import materialize
 
 
 def with_totals(df: DataFrame, cells: Sequence[str], **sums: str) -> DataFrame:
@@ -39,7 +40,7 @@ def score_counts(
 
 def auc_from_counts(counts: DataFrame, cells: Sequence[str]) -> DataFrame:
     """ROC AUC from ``score_counts``; ties count one half; null if a cell has one class."""
-    ordered = running(counts, cells, [F.asc("score")], before={"lower_n": "n"})
+    ordered = running(counts, cells, [F.asc("score")], before={"lower_n": "n"}, store=True)
     won = F.col("p").cast("double") * (F.col("lower_n") + F.col("n") / 2)
     pairs = F.sum("p").cast("double") * F.sum("n")
     return ordered.groupBy(*cells).agg(
@@ -66,7 +67,7 @@ def auc_both(df: DataFrame, cells: Sequence[str], score: str, label: str) -> Dat
 def roc_points(df: DataFrame, cells: Sequence[str], score: str, label: str) -> DataFrame:
     """True and false positive rate when every score at or above the threshold is positive."""
     counts = score_counts(df, cells, score, label)
-    out = running(counts, cells, [F.desc("score")], upto={"tp": "p", "fp": "n"})
+    out = running(counts, cells, [F.desc("score")], upto={"tp": "p", "fp": "n"}, store=True)
     out = with_totals(out, cells, n_pos="p", n_neg="n")
     return out.select(
         *cells, F.col("score").alias("threshold"), "tp", "fp", "n_pos", "n_neg",
@@ -78,7 +79,7 @@ def roc_points(df: DataFrame, cells: Sequence[str], score: str, label: str) -> D
 def average_precision(df: DataFrame, cells: Sequence[str], score: str, label: str) -> DataFrame:
     """Sum over distinct scores of recall gain times precision."""
     counts = score_counts(df, cells, score, label)
-    out = running(counts, cells, [F.desc("score")], upto={"tp": "p", "fp": "n"})
+    out = running(counts, cells, [F.desc("score")], upto={"tp": "p", "fp": "n"}, store=True)
     gain = F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))
     return out.groupBy(*cells).agg(
         (F.sum(gain) / F.nullif(F.sum("p"), F.lit(0))).alias("average_precision"),
@@ -194,6 +195,7 @@ def spearman(df: DataFrame, cells: Sequence[str], x: str, y: str) -> DataFrame:
         .groupBy(*cells, F.col(x).alias("__x"), F.col(y).alias("__y"))
         .agg(F.count(F.lit(1)).cast("double").alias("__w"))
     )
+    pairs = materialize(pairs, "pairs")
     rx = rank_table(pairs, cells, "__x", weight="__w").select(*cells, "__x", F.col("avg_rank").alias("__rx"))
     ry = rank_table(pairs, cells, "__y", weight="__w").select(*cells, "__y", F.col("avg_rank").alias("__ry"))
     ranked = pairs.join(rx, [*cells, "__x"]).join(ry, [*cells, "__y"])
@@ -223,6 +225,7 @@ def kendall_tau(df: DataFrame, cells: Sequence[str], x: str, y: str) -> DataFram
         .groupBy(*cells, F.col(x).alias("__x"), F.col(y).alias("__y"))
         .agg(F.count(F.lit(1)).cast("double").alias("__w"))
     )
+    pairs = materialize(pairs, "pairs")
     ys = pairs.select(*cells, "__y").distinct()
     dense = running(ys, cells, [F.asc("__y")], number="__r").withColumn("__r", F.col("__r") - 1)
     bits = int(dense.agg(F.coalesce(F.max("__r"), F.lit(0))).first()[0]).bit_length()
@@ -238,7 +241,7 @@ def kendall_tau(df: DataFrame, cells: Sequence[str], x: str, y: str) -> DataFram
     )
     counted = running(
         buckets, [*cells, "__level", "__prefix"], [F.asc("__x")],
-        before={"ones_before": "ones", "zeros_before": "zeros"},
+        before={"ones_before": "ones", "zeros_before": "zeros"}, store=True,
     )
     net = counted.groupBy(*cells).agg(
         F.sum(F.col("ones") * F.col("zeros_before")).alias("concordant"),

@@ -30,13 +30,17 @@ def running(
     before: dict[str, str] | None = None,
     upto: dict[str, str] | None = None,
     lowest: dict[str, str] | None = None,
+    store: bool = False,
     plain_rows: int | None = None,
 ) -> DataFrame:
     """Add a 1-based row number, exclusive (``before``) or inclusive (``upto``) sums, or minima.
 
     ``before``/``upto``/``lowest`` map the new column to the source column. ``order`` must be a total order
-    inside a group wherever ``number`` is used.
+    inside a group wherever ``number`` is used. ``store`` writes the input first: right for a small
+    aggregate over a large scan, which would otherwise be read once to count and once to order.
     """
+    if store:
+        df = materialize(df, "ordered")
     before, upto, lowest = before or {}, upto or {}, lowest or {}
     limit = PLAIN_WINDOW_ROWS if plain_rows is None else plain_rows
     sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))

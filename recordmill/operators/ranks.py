@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordmill.operators.ordering import row_numbers, running
+from recordmill.session import materialize
 
 
 def positions(df: DataFrame, part: Sequence[str], score: str, key: Sequence[str], out: str = "position") -> DataFrame:
@@ -26,7 +27,7 @@ def rank_table(
     n = F.sum(weight) if weight else F.count(F.lit(1))
     distinct = df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(n.alias("n_tied"))
     order = F.desc(value) if descending else F.asc(value)
-    out = running(distinct, part, [order], before={"n_before": "n_tied"})
+    out = running(distinct, part, [order], before={"n_before": "n_tied"}, store=True)
     return out.withColumn("avg_rank", F.col("n_before") + (F.col("n_tied") + 1) / 2)
 
 
@@ -51,6 +52,7 @@ def train_percentile(
         .groupBy(*part, score)
         .agg(F.sum("__t").alias("__t"))
     )
+    both = materialize(both, "scores")
     below = running(both, part, [F.asc(score)], before={"__below": "__t"})
     if part:
         total = both.groupBy(*part).agg(F.sum("__t").alias("__total"))
@@ -65,6 +67,7 @@ def train_percentile(
 def exact_quantiles(df: DataFrame, part: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation; ``probs`` maps output names to probabilities."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = materialize(counts, "values")
     run = running(counts, part, [F.asc(value)], upto={"__upto": "__n"})
     totals = counts.groupBy(*part).agg((F.sum("__n") - 1).alias("__last"))
     if part:

@@ -19,8 +19,11 @@ from recordmill.operators.ranks import rank_table
 from recordmill.operators.splits import hash_positions
 
 
-def replicates(df: DataFrame, n: int, out: str = "b") -> DataFrame:
-    return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def replicates(df: DataFrame, n: int, key: Sequence[str], out: str = "b") -> DataFrame:
+    """Every row once per replicate. Rows are spread by key first, before they multiply."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartition(parts, *key)
+    return spread.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
 def unit_index(units: DataFrame, cells: Sequence[str], key: Sequence[str]) -> DataFrame:
@@ -44,7 +47,7 @@ def draw_weights(
     indexed = unit_index(units, cells, key)
     drawn = F.pmod(hash_key(seed, "b", "idx"), F.col("n_units"))
     weights = (
-        replicates(indexed.select(*cells, "idx", "n_units"), n_boot)
+        replicates(indexed.select(*cells, "idx", "n_units"), n_boot, [*cells, "idx"])
         .select(*cells, "b", drawn.alias("idx"))
         .groupBy(*cells, "b", "idx")
         .agg(F.count(F.lit(1)).alias("w"))
@@ -150,12 +153,14 @@ def bootstrap_classes(
             F.aggregate("a", F.lit(0).cast("bigint"), lambda s, v: s + v["n"]).alias("total"),
         ).alias("m")
     )
-    rows = replicates(df.select(*key), n_boot).withColumn("m", packed.scalar())
+    rows = replicates(df.select(*key), n_boot, key).withColumn("m", packed.scalar())
     idx = F.pmod(hash_key(seed, "b", *key), F.col("m.total"))
-    hit = F.element_at(F.filter("m.cells", lambda e: e["upto"] > F.col("idx")), 1)
+    # The one-element array binds the hash, so that it is computed once and not once per cell.
+    hit = F.transform(
+        F.array(idx), lambda i: F.element_at(F.filter("m.cells", lambda e: e["upto"] > i), 1)
+    )[0]
     return (
-        rows.withColumn("idx", idx)
-        .select("b", hit.alias("c"))
+        rows.select("b", hit.alias("c"))
         .groupBy("b", F.col("c.y").alias("y"), F.col("c.q").alias("q"))
         .agg(F.count(F.lit(1)).alias("w"))
     )
@@ -182,7 +187,7 @@ def permutation_auc(
         return F.round((rank_sum - n * (n + 1) / 2) / F.nullif(n * m, F.lit(0)), 12)
 
     observed = ranked.groupBy(*cells).agg(F.sum(F.when(F.col(label) == 1, F.col("__rank"))).alias("__s"))
-    spread = replicates(ranked.select(*cells, *key, "__rank"), n_perm)
+    spread = replicates(ranked.select(*cells, *key, "__rank"), n_perm, key)
     placed = hash_positions(spread, [*cells, "b"], seed, ["b", *key])
 
     def attach(df: DataFrame) -> DataFrame:
@@ -214,7 +219,7 @@ def set_permutation(
     items: DataFrame, key: Sequence[str], in_set: str, value: str, n_perm: int, seed: int
 ) -> DataFrame:
     """Mean of a set minus mean of the rest against random sets of the same size."""
-    spread = replicates(items.select(*key, F.col(value).alias("__v"), F.col(in_set).cast("int").alias("__in")), n_perm)
+    spread = replicates(items.select(*key, F.col(value).alias("__v"), F.col(in_set).cast("int").alias("__in")), n_perm, key)
     placed = hash_positions(spread, ["b"], seed, ["b", *key])
     size = items.agg(F.sum(F.col(in_set).cast("int"))).scalar()
     chosen = F.col("pos") <= F.col("__k")
