@@ -103,13 +103,15 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 
 
 def shingle_hashes(text: Column | str, k: int = 3) -> Column:
-    """Sorted distinct 64-bit hashes of runs of ``k`` words; shorter texts give one shingle."""
+    """Distinct 64-bit hashes of runs of ``k`` words; a shorter text gives one shingle."""
     words = F.filter(F.split(F.lower(_col(text)), f"{SPACE}+"), lambda w: w != "")
-    runs = F.when(
-        F.size(words) >= k,
-        F.transform(
-            F.sequence(F.lit(1), F.size(words) - (k - 1)),
-            lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i, k))),
-        ),
-    ).otherwise(F.array(F.xxhash64(F.concat_ws(" ", words))))
-    return F.array_sort(F.array_distinct(runs))
+
+    def runs(ws: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(ws) - (k - 1))
+        return F.when(
+            F.size(ws) >= k,
+            F.transform(starts, lambda i: F.xxhash64(F.concat_ws(" ", F.slice(ws, i, k)))),
+        ).otherwise(F.array(F.xxhash64(F.concat_ws(" ", ws))))
+
+    # The one-element array binds the word list, so that it is split once and not once per run.
+    return F.array_distinct(F.transform(F.array(words), runs)[0])
