@@ -73,7 +73,7 @@ def edit_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.6) -
         nth = F.row_number().over(W.partitionBy("key", "g").orderBy("p"))
         return rows.select("key", "m", F.concat_ws("#", "g", nth).alias("item"))
 
-    keep = F.col("m") - F.ceil(F.lit(share) * (F.col("m") - 1) + 1) + 1
+    keep = F.col("m") - F.ceil(F.lit(share) * (F.col("m") - 1) + 1 - 1e-9) + 1
     a, b = _rarest(grams(left), grams(right), keep=keep)
     joined = (
         _pairs(a, b)

@@ -203,15 +203,18 @@ def balanced_search(
         *[F.count(F.when(F.col(cls) == c, 1)).alias(f"c{i}") for i, c in enumerate(classes)]
     )
     n_groups = counts.count()
-    bundle = F.pmod(hash_key(seed, *group), F.lit(max(1, limit // 64))) if n_groups > limit else None
+    bundle = None
+    if n_groups > limit:
+        n_domains = counts.select(domain).distinct().count()
+        if n_domains > limit:
+            raise ValueError("more domains than the search can cover on each side")
+        bundle = F.pmod(hash_key(seed, *group), F.lit(limit // n_domains))
     names = counts.withColumn(
         "__unit", F.concat_ws("/", *group) if bundle is None else F.concat_ws("/", domain, bundle)
     )
     units = names.groupBy("__unit", domain).agg(
         *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(classes))]
     )
-    if bundle is not None and units.count() > limit:
-        raise ValueError("too many domains for a balanced search; split per domain")
     table = units.orderBy("__unit").toPandas()
     matrix = table[[f"c{i}" for i in range(len(classes))]].to_numpy(float)
     domain_of, domain_names = pd.factorize(table[domain], sort=True)
