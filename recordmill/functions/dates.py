@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recordmill.functions.bind import let
 from recordmill.functions.hashing import _col
 
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -42,10 +43,14 @@ def parse_partial_date(raw: Column | str) -> Column:
     y = F.coalesce(*[part(p, gy).cast("int") for p, gy, _, _ in DATE_FORMATS])
     m = F.coalesce(none, *[month(p, gm) for p, _, gm, _ in DATE_FORMATS if gm])
     d = F.coalesce(none, *[part(p, gd).cast("int") for p, _, _, gd in DATE_FORMATS if gd])
-    precision = (
-        F.when(y.isNull(), "none").when(m.isNull(), "year").when(d.isNull(), "month").otherwise("day")
-    )
-    return F.struct(y.alias("y"), m.alias("m"), d.alias("d"), precision.alias("precision"))
+
+    def described(v: Column) -> Column:
+        precision = (
+            F.when(v["y"].isNull(), "none").when(v["m"].isNull(), "year").when(v["d"].isNull(), "month").otherwise("day")
+        )
+        return F.struct(v["y"].alias("y"), v["m"].alias("m"), v["d"].alias("d"), precision.alias("precision"))
+
+    return let(described, y=y, m=m, d=d)
 
 
 def ym_string(year: Column, month: Column) -> Column:

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recordmill.functions.bind import let
 from recordmill.functions.hashing import _col
 
 Rule = tuple[str, Sequence[str]]
@@ -113,5 +114,5 @@ def shingle_hashes(text: Column | str, k: int = 3) -> Column:
             F.transform(starts, lambda i: F.xxhash64(F.concat_ws(" ", F.slice(ws, i, k)))),
         ).otherwise(F.array(F.xxhash64(F.concat_ws(" ", ws))))
 
-    # The one-element array binds the word list, so that it is split once and not once per run.
-    return F.array_distinct(F.transform(F.array(words), runs)[0])
+    # Bound, so that the text is split once and not once per run.
+    return F.array_distinct(let(lambda v: runs(v["words"]), words=words))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.operators.ranks import exact_quantiles
+from recordmill.session import materialize
 
 EPS = 1e-7
 N_BINS = 15
@@ -64,23 +65,27 @@ def fit_temperature(
 ) -> DataFrame:
     """Temperature with the lowest NLL of sigmoid(z / T), searched on a log grid.
 
+    Equal (score, label) rows are counted and written once, so the rounds read a narrow table.
     Each round evaluates ``points + 1`` temperatures in one pass and zooms in around the best;
     the rows are combined per (cell, temperature) where they are read.
     """
     low, high = LOG_T
+    counts = df.groupBy(*cells, F.col(z).alias("__z"), F.col(y).alias("__y")).agg(F.count(F.lit(1)).alias("__w"))
+    df = materialize(counts, "scores")
     centre = df.select(*cells).distinct() if cells else df.sparkSession.range(1).select()
     centre = centre.withColumn("log_t", F.lit((low + high) / 2))
     half = (high - low) / 2
     for _ in range(rounds):
         offsets = F.array(*[F.lit(round(half * (2 * i / points - 1), 12)) for i in range(points + 1)])
         if cells:
-            rows = df.select(*cells, F.col(z).alias("__z"), F.col(y).alias("__y")).join(centre.select(*cells, "log_t"), list(cells))
+            rows = df.join(centre.select(*cells, "log_t"), list(cells))
         else:
-            rows = df.select(F.col(z).alias("__z"), F.col(y).alias("__y")).withColumn("log_t", centre.select("log_t").scalar())
+            rows = df.withColumn("log_t", centre.select("log_t").scalar())
         rows = rows.withColumn("__o", F.explode(offsets))
         log_t = F.least(F.greatest(F.round(F.col("log_t") + F.col("__o"), 9), F.lit(low)), F.lit(high))
+        term = nll_term(sigmoid(F.col("__z") / F.exp("__lt")), F.col("__y"))
         scored = rows.withColumn("__lt", log_t).groupBy(*cells, "__lt").agg(
-            F.avg(nll_term(sigmoid(F.col("__z") / F.exp("__lt")), F.col("__y"))).alias("__nll")
+            (F.sum(term * F.col("__w")) / F.sum("__w")).alias("__nll")
         )
         best = F.struct(F.round("__nll", 12), F.abs("__lt"))
         centre = scored.groupBy(*cells).agg(

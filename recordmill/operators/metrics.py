@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordmill.functions.bind import let
 from recordmill.functions.hashing import hash_unit
 from recordmill.operators.ordering import running
 from recordmill.operators.ranks import rank_table
@@ -295,9 +296,12 @@ def random_baseline(
         ).alias("a")
     )
     rows = test.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    rows = rows.withColumn("__u", hash_unit(seed, "run", *key)).withColumn("__shares", shares.scalar())
-    drawn = F.element_at(F.filter("__shares", lambda e: e["upto"] > F.col("__u")), 1)["c"]
-    return rows.withColumn("drawn", drawn).drop("__u", "__shares")
+    rows = rows.withColumn("__shares", shares.scalar())
+    drawn = let(
+        lambda v: F.element_at(F.filter("__shares", lambda e: e["upto"] > v["u"]), 1)["c"],
+        u=hash_unit(seed, "run", *key),
+    )
+    return rows.withColumn("drawn", drawn).drop("__shares")
 
 
 def log_binomial_window(n: Column, k_mean: Column, sd: Column) -> tuple[Column, Column]:
@@ -330,13 +334,17 @@ def sign_test_p(k: Column, n: Column) -> Column:
     """Two-sided sign test: twice the smaller binomial tail at one half, at most 1."""
     low, high = log_binomial_window(n, n / 2, F.sqrt(n.cast("double")) / 2)
 
-    def ratio(i: Column) -> Column:
-        return (n - i + 1) / i
+    def p(v: Column) -> Column:
+        def ratio(i: Column) -> Column:
+            return (v["n"] - i + 1) / i
+
+        def masses(u: Column) -> Column:
+            tail = _mass(v["low"], v["high"], u["base"], ratio, lambda i, w: i <= v["small"])
+            return F.least(F.lit(1.0), 2 * tail / _mass(v["low"], v["high"], u["base"], ratio))
 
-    base = _log_weight(low, F.greatest(low, F.floor(n / 2)), ratio)
-    small = F.least(k, n - k)
-    tail = _mass(low, high, base, ratio, lambda i, w: i <= small)
-    return F.least(F.lit(1.0), 2 * tail / _mass(low, high, base, ratio))
+        return let(masses, base=_log_weight(v["low"], F.greatest(v["low"], F.floor(v["n"] / 2)), ratio))
+
+    return let(p, n=n, small=F.least(k, n - k), low=low, high=high)
 
 
 def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -347,15 +355,25 @@ def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:
     low, high = log_binomial_window(F.least(row, col), mean, sd)
     low = F.greatest(low, row + col - n)
 
-    def ratio(k: Column) -> Column:
-        return ((row - k + 1) * (col - k + 1)) / (k * (n - row - col + k))
-
-    base = _log_weight(low, F.greatest(low, F.floor(mean)), ratio)
-    seen = _log_weight(low, F.least(F.greatest(a, low), high), ratio) - base
-    extreme = _mass(low, high, base, ratio, lambda k, w: w <= seen + 1e-7)
-    p = F.least(F.lit(1.0), extreme / _mass(low, high, base, ratio))
-    # Outside the window every table of this kind is rarer than double precision can say.
-    return F.when(a.between(low, high), p).otherwise(0.0)
+    def p(v: Column) -> Column:
+        def ratio(k: Column) -> Column:
+            return ((v["row"] - k + 1) * (v["col"] - k + 1)) / (k * (v["rest"] + k))
+
+        def masses(u: Column) -> Column:
+            base = u["base"]
+            seen = u["seen"] - base + 1e-7
+            extreme = _mass(v["low"], v["high"], base, ratio, lambda k, w: w <= seen)
+            value = F.least(F.lit(1.0), extreme / _mass(v["low"], v["high"], base, ratio))
+            # Outside the window every table of this kind is rarer than double precision can say.
+            return F.when(v["a"].between(v["low"], v["high"]), value).otherwise(0.0)
+
+        at = F.least(F.greatest(v["a"], v["low"]), v["high"])
+        return let(
+            masses, base=_log_weight(v["low"], F.greatest(v["low"], v["middle"]), ratio),
+            seen=_log_weight(v["low"], at, ratio),
+        )
+
+    return let(p, a=a, row=row, col=col, rest=n - row - col, middle=F.floor(mean), low=low, high=high)
 
 
 def bh_adjust(df: DataFrame, family: Sequence[str], p: str, key: Sequence[str], out: str = "q") -> DataFrame:

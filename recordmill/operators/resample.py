@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordmill.functions.bind import let
 from recordmill.functions.hashing import hash_key
 from recordmill.operators import metrics
 from recordmill.operators.ordering import row_numbers
@@ -155,10 +156,7 @@ def bootstrap_classes(
     )
     rows = replicates(df.select(*key), n_boot, key).withColumn("m", packed.scalar())
     idx = F.pmod(hash_key(seed, "b", *key), F.col("m.total"))
-    # The one-element array binds the hash, so that it is computed once and not once per cell.
-    hit = F.transform(
-        F.array(idx), lambda i: F.element_at(F.filter("m.cells", lambda e: e["upto"] > i), 1)
-    )[0]
+    hit = let(lambda v: F.element_at(F.filter("m.cells", lambda e: e["upto"] > v["i"]), 1), i=idx)
     return (
         rows.select("b", hit.alias("c"))
         .groupBy("b", F.col("c.y").alias("y"), F.col("c.q").alias("q"))

@@ -101,7 +101,7 @@ def route_by_period(t: Tables):
 def nonstandard_chars(t: Tables):
     chars = text.chars_outside("text", "A-Za-z0-9 .,\\n")
     return (
-        t.documents.select("doc_id", "source", chars.alias("c"))
+        t.texts.select("doc_id", "source", chars.alias("c"))
         .where(F.size("c") > 0)
         .select("doc_id", "source", F.array_join("c", "").alias("chars"), F.size("c").alias("n_kinds"))
     )
@@ -163,7 +163,7 @@ def coarse_category(t: Tables):
 )
 def classify_keywords(t: Tables):
     category = text.tiered_class(text.keyword_class("text", TIER1))
-    return t.documents.select("doc_id", category.alias("category"))
+    return t.texts.select("doc_id", category.alias("category"))
 
 
 @query(
@@ -179,7 +179,7 @@ def classify_tiered(t: Tables):
     category = text.tiered_class(
         text.keyword_class("text", TIER1), text.keyword_class("text", TIER2, plural=False), third
     )
-    return t.documents.select("doc_id", category.alias("category"))
+    return t.texts.select("doc_id", category.alias("category"))
 
 
 @query(
@@ -338,7 +338,7 @@ def normalize_tokens(t: Tables):
             F.col(key).alias("item_id"), text.normalize_name("text").alias("norm"), tokens.alias("tokens")
         )
 
-    return side(t.benchmark, "item_id").unionAll(side(t.documents, "doc_id"))
+    return side(t.benchmark, "item_id").unionAll(side(t.texts, "doc_id"))
 
 
 @query(

@@ -115,7 +115,7 @@ CLASS_SQL = f"""
 
 
 def _classes(t: Tables):
-    return t.documents.select(
+    return t.texts.select(
         "doc_id", "source", text.tiered_class(text.keyword_class("text", TIER1)).alias("old_category"),
         text.tiered_class(text.keyword_class("text", TIER2, plural=False)).alias("new_category"),
     )

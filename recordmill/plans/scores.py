@@ -393,7 +393,7 @@ def js_divergence(t: Tables):
             lambda ch: F.struct(ch.alias("ch"), (F.length(low) - F.length(F.replace(low, ch, F.lit("")))).alias("n")),
         )
     )
-    counts = t.documents.select("lang", F.lower("text").alias("low")).select("lang", per_text.alias("x")).groupBy("lang", "x.ch").agg(F.sum("x.n").alias("n"))
+    counts = t.texts.select("lang", F.lower("text").alias("low")).select("lang", per_text.alias("x")).groupBy("lang", "x.ch").agg(F.sum("x.n").alias("n"))
     # One side per language: its own letters against those of all other languages.
     total = counts.groupBy("ch").agg(F.sum("n").alias("all_n"))
     langs = counts.select("lang").distinct()

@@ -62,6 +62,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame, *key: str) -> DataFrame:
+    """Rehash a plain scan that has fewer tasks than there are cores; leave larger scans alone.
+
+    For text work on a few unsplittable files. A scan of a large table already has many tasks and
+    is not shuffled. Only for scans: asking for the partitions of a plan with a shuffle runs it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def clear_written(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; call when no result is pending."""
     jvm = spark.sparkContext._jvm
