@@ -15,13 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recordmill.functions.bind import let
 from recordmill.functions.text import levenshtein_ratio, name_tokens, normalize_name
 from recordmill.operators.ordering import row_numbers
 from recordmill.session import materialize
 
 
-def _rarest(left: DataFrame, right: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
-    """``(key, item)`` of both sides reduced to each name's rarest items; ``m`` counts its items."""
+def _rarest(left: DataFrame, right: DataFrame, keep: Column, carry: str) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(key, item, carry)`` of both sides reduced to each name's rarest items.
+
+    ``m`` is the number of items of a name and ``keep`` how many of them to keep.
+    """
     both = left.select("item").unionAll(right.select("item"))
     df = both.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
     # A name is short, so the window per name is bounded.
@@ -29,38 +33,42 @@ def _rarest(left: DataFrame, right: DataFrame, keep: Column) -> tuple[DataFrame,
 
     def prefix(side: DataFrame) -> DataFrame:
         ranked = side.join(df, "item").withColumn("r", F.row_number().over(w))
-        return ranked.where(F.col("r") <= keep).select("key", "item")
+        return ranked.where(F.col("r") <= keep).select("key", "item", carry)
 
     return prefix(left), prefix(right)
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    a = left.select(F.col("key").alias("l"), "item")
-    b = right.select(F.col("key").alias("r"), "item")
-    return a.join(b, "item").select("l", "r").distinct()
+def _join(a: DataFrame, b: DataFrame, carry: str, value: Column, test: Column) -> DataFrame:
+    """``(l, r, value)`` of pairs with a common item that pass the test.
+
+    The test is part of the join, so only pairs that qualify leave it, however common an item is.
+    """
+    left = a.select(F.col("key").alias("l"), "item", F.col(carry).alias("x"))
+    right = b.select(F.col("key").alias("r"), F.col("item").alias("item_r"), F.col(carry).alias("y"))
+    pairs = left.join(right, (F.col("item") == F.col("item_r")) & test)
+    return pairs.select("l", "r", value).distinct()
 
 
 def token_candidates(left: DataFrame, right: DataFrame, min_shared: int = 3) -> DataFrame:
     """``(l, r, shared)`` for pairs of ``(key, tokens)`` rows with enough tokens in common."""
     sides = [
-        s.where(F.size("tokens") >= min_shared).select("key", F.size("tokens").alias("m"), F.explode("tokens").alias("item"))
+        s.where(F.size("tokens") >= min_shared).select(
+            "key", "tokens", F.size("tokens").alias("m"), F.explode("tokens").alias("item")
+        )
         for s in (left, right)
     ]
-    a, b = _rarest(*sides, keep=F.col("m") - (min_shared - 1))
-    joined = (
-        _pairs(a, b)
-        .join(left.select(F.col("key").alias("l"), F.col("tokens").alias("ta")), "l")
-        .join(right.select(F.col("key").alias("r"), F.col("tokens").alias("tb")), "r")
-    )
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return joined.select("l", "r", shared.alias("shared")).where(F.col("shared") >= min_shared)
+    a, b = _rarest(*sides, keep=F.col("m") - (min_shared - 1), carry="tokens")
+    shared = F.size(F.array_intersect("x", "y"))
+    return _join(a, b, "tokens", shared.alias("shared"), shared >= min_shared)
 
 
 def edit_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> DataFrame:
     """``(l, r, sim)`` for pairs of ``(key, norm)`` rows with similarity above the threshold.
 
-    With padded ends, names of longer length L within the allowed distance share more than
-    ``L * (2 * threshold - 1)`` of their character pairs, counted with repeats.
+    One edit changes at most two character pairs. With padded ends, names of longer length L at
+    distance d therefore share at least ``L + 1 - 2 d`` pairs, counted with repeats. A pair of
+    names is tested once, at its rarest common character pair, and the edit distance is computed
+    only if they share enough.
     """
     share = 2 * threshold - 1
 
@@ -69,22 +77,36 @@ def edit_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.6) -
         pieces = F.transform(
             F.sequence(F.lit(1), F.length("norm") + 1), lambda i: F.substring(padded, i, F.lit(2))
         )
-        rows = side.where("norm <> ''").select("key", (F.length("norm") + 1).alias("m"), F.posexplode(pieces).alias("p", "g"))
+        rows = side.where("norm <> ''").select("key", "norm", F.posexplode(pieces).alias("p", "g"))
         nth = F.row_number().over(W.partitionBy("key", "g").orderBy("p"))
-        return rows.select("key", "m", F.concat_ws("#", "g", nth).alias("item"))
-
-    keep = F.col("m") - F.ceil(F.lit(share) * (F.col("m") - 1) + 1 - 1e-9) + 1
-    a, b = _rarest(grams(left), grams(right), keep=keep)
-    joined = (
-        _pairs(a, b)
-        .join(left.select(F.col("key").alias("l"), F.col("norm").alias("na")), "l")
-        .join(right.select(F.col("key").alias("r"), F.col("norm").alias("nb")), "r")
-    )
-    short, long = F.least(F.length("na"), F.length("nb")), F.greatest(F.length("na"), F.length("nb"))
-    joined = joined.where(short > threshold * long)
-    return joined.select("l", "r", levenshtein_ratio(F.col("na"), F.col("nb")).alias("sim")).where(
-        F.col("sim") > threshold
+        return rows.select("key", "norm", F.xxhash64("g", nth).alias("item"))
+
+    both = [materialize(grams(side), "grams") for side in (left, right)]
+    df = both[0].select("item").unionAll(both[1].select("item")).groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(rows: DataFrame) -> DataFrame:
+        # As many items as the name has characters, rarest first.
+        names = rows.join(df, "item").groupBy("key").agg(
+            F.any_value("norm").alias("norm"), F.sort_array(F.collect_list(F.struct("df", "item"))).alias("a")
+        )
+        names = names.select("key", "norm", F.col("a.item").alias("items"))
+        m = F.size("items")
+        keep = m - F.ceil(F.lit(share) * (m - 1) + 1 - 1e-9) + 1
+        return names.select("*", F.explode(F.slice("items", F.lit(1), keep.cast("int"))).alias("item"))
+
+    a, b = [prefix(rows) for rows in both]
+    a = a.select(F.col("key").alias("l"), "item", F.col("norm").alias("x"), F.col("items").alias("xs"))
+    b = b.select(F.col("key").alias("r"), F.col("item").alias("item_r"), F.col("norm").alias("y"), F.col("items").alias("ys"))
+    x, y = F.col("x"), F.col("y")
+    longer = F.greatest(F.length(x), F.length(y))
+    lengths = F.least(F.length(x), F.length(y)) > threshold * longer
+    needed = longer + 1 - 2 * (F.ceil((1 - threshold) * longer) - 1)
+    common = let(
+        lambda v: (F.get(v["i"], F.lit(0)) == F.col("item")) & (F.size(v["i"]) >= needed), i=F.array_intersect("xs", "ys")
     )
+    sim = levenshtein_ratio(x, y)
+    pairs = a.join(b, (F.col("item") == F.col("item_r")) & lengths & common & (sim > threshold))
+    return pairs.select("l", "r", sim.alias("sim"))
 
 
 def mutual_best(candidates: DataFrame, order: Sequence[Column]) -> DataFrame:

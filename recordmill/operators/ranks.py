@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from recordmill.operators.ordering import row_numbers, running
 from recordmill.session import materialize
 
+GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
+
 
 def positions(df: DataFrame, part: Sequence[str], score: str, key: Sequence[str], out: str = "position") -> DataFrame:
     """1-based position by descending score, ties by key."""
@@ -100,7 +102,13 @@ def exact_quantiles(df: DataFrame, part: Sequence[str], value: str, probs: dict[
 
 
 def top_k(df: DataFrame, part: Sequence[str], k: int, order: Sequence[Column], out: str = "rank") -> DataFrame:
-    """First k rows per group. Spark limits each group before the shuffle, so hot groups are cheap."""
+    """First k rows per group.
+
+    Up to ``GROUP_LIMIT`` rows Spark cuts each group before the shuffle, so hot groups are cheap;
+    beyond that the rows are numbered by ``row_numbers``.
+    """
+    if k > GROUP_LIMIT:
+        return row_numbers(df, part, order, out).where(F.col(out) <= k)
     w = W.partitionBy(*(part or [F.lit(0)])).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
