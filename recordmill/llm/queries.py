@@ -30,11 +30,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 JACCARD_SQL = r"""
 with recursive tokens as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from documents
 ), sets as (
   select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [w]
-    else list_distinct(list_transform(range(1, len(w) - 1), i -> w[i:i + 2])) end as s from tokens
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) end as s from tokens
 ), parts as (select doc_id, len(s) as n, unnest(s) as g from sets),
 common as (
   select a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny, count(*) as c
