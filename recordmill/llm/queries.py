@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recordmill.llm.common import prepare
 
@@ -55,3 +56,19 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from recordmill.llm.jaccard_join import jaccard_groups
 
     return jaccard_groups(table(spark, folder, "documents"), size=3, num=90, den=100)
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from recordmill.llm.byte_bpe import decode, encode
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = decode(encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return rows.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
