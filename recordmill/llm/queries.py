@@ -72,3 +72,14 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op9_token_files")
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from recordmill.llm.token_files import read_token_files, token_folder, write_token_files
+
+    docs = table(spark, folder, "documents")
+    files = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), 49_408, 1, token_folder(docs))
+    return read_token_files(files).drop("ids")
