@@ -83,3 +83,36 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     files = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), 49_408, 1, token_folder(docs))
     return read_token_files(files).drop("ids")
+
+
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from recordmill.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, folder, "documents")).select("doc_id", "text", "lines_removed")
+
+
+CONTAINMENT_SQL = r"""
+with doc_words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+), item_words as (
+  select item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from benchmark
+), item_parts as (
+  select item_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]))) as g from item_words
+), sizes as (select item_id, count(*) as n_item from item_parts group by item_id),
+doc_parts as (
+  select doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]))) as g from doc_words
+)
+select doc_id, item_id, count(*) as n_shared, any_value(n_item) as n_item
+from doc_parts join item_parts using (g) join sizes using (item_id)
+group by doc_id, item_id having count(*) * 10 >= any_value(n_item) * 8
+"""
+
+
+@query("op5_decontaminate", CONTAINMENT_SQL)
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    from recordmill.llm.decontaminate import contained_items
+
+    return contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
