@@ -116,3 +116,13 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     from recordmill.llm.decontaminate import contained_items
 
     return contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op2_compression_quality")
+def op2_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from recordmill.llm.compression_quality import fit, held_out, score
+
+    docs = table(spark, folder, "documents")
+    model = fit(docs, table(spark, folder, "labels"))
+    scored = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), score(model, docs).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
