@@ -126,3 +126,32 @@ def op2_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     model = fit(docs, table(spark, folder, "labels"))
     scored = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), score(model, docs).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def _joined(spans, kinds: tuple[str, ...] | None = None):
+    """``kind:start:end`` of the spans, comma-joined in their order."""
+    if kinds:
+        spans = F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+
+def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(k) for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("spans"), kinds), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+@query("op3_secret_linking")
+def op3_secret_linking(spark: SparkSession, folder: str) -> DataFrame:
+    from recordmill.llm.secrets import KINDS, find_secrets
+
+    return _span_digest(find_secrets(table(spark, folder, "documents")), KINDS)
+
+
+@query("op4_disclosure")
+def op4_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    from recordmill.llm.disclosure import KINDS, find_personal
+
+    return _span_digest(find_personal(table(spark, folder, "documents")), KINDS)
