@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from recordmill.session import materialize, new_path, tune
 
-__all__ = ["BATCH_ROWS", "bit_filter", "map_batches", "materialize", "maybe_in", "new_path", "prepare"]
+__all__ = ["BATCH_ROWS", "bit_filter", "map_batches", "materialize", "maybe_in", "new_path", "prepare", "without"]
 
 #: Rows of one Arrow batch; texts are long, so batches are kept short.
 BATCH_ROWS = 512
@@ -74,3 +74,10 @@ def maybe_in(column: str, keys: DataFrame) -> Column:
         return pd.Series(test(hashes.to_numpy()))
 
     return run(F.xxhash64(column))
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in ``ids``; only rows that may be dropped are shuffled."""
+    ids = materialize(ids.select(id_col).where(F.col(id_col).isNotNull()).distinct(), "dropped")
+    hit = maybe_in(id_col, ids)
+    return docs.where(~hit).unionByName(docs.where(hit).join(ids, id_col, "left_anti").select(docs.columns))

@@ -155,3 +155,54 @@ def op4_disclosure(spark: SparkSession, folder: str) -> DataFrame:
     from recordmill.llm.disclosure import KINDS, find_personal
 
     return _span_digest(find_personal(table(spark, folder, "documents")), KINDS)
+
+
+REVISIT_SQL = r"""
+with p as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as h from pages
+), best as (select h, max(page_id) as best from p group by h)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::int, 5))::int >> (15 - 5 * (i % 4))::int) & 31), 1)), '') as payload_digest,
+  case when page_id = best then 'response' else 'revisit' end as record_type,
+  case when page_id <> best then best end as refers_to
+from p join best using (h)
+"""
+
+
+@query("op7_warc", REVISIT_SQL)
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from recordmill.llm.common import new_path
+    from recordmill.llm.warc import read_warc, register, write_pages
+
+    register(spark)
+    path = new_path(spark, "warc")
+    write_pages(table(spark, folder, "pages"), path)
+
+    def number(column: str):
+        return F.regexp_extract(column, r"^urn:page:(-?\d+)$", 1).cast("bigint")
+
+    return read_warc(spark, path, payload=False).select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"),
+    )
+
+
+TOPK_SQL = r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from s qualify rank <= 5
+"""
+
+
+@query("op10_topk", TOPK_SQL)
+def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
+    from recordmill.llm.topk_search import top_k
+
+    return top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
