@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordmill.functions.nullsafe import attach
 from recordmill.operators.ranks import exact_quantiles
 from recordmill.session import materialize
 
@@ -47,7 +48,7 @@ def reliability_bins(
     every = F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1)))
     base = found.select(*cells).distinct() if cells else df.sparkSession.range(1).select()
     grid = base.select(*cells, every.alias("bin"))
-    out = grid.join(found, [*cells, "bin"], "left")
+    out = attach(grid, found, [*cells, "bin"], "left")
     return out.select(
         *cells, "bin", (F.col("bin") / n_bins).alias("lo"), ((F.col("bin") + 1) / n_bins).alias("hi"),
         F.coalesce("n", F.lit(0)).alias("n"), "mean_conf", "emp_freq",
@@ -78,7 +79,7 @@ def fit_temperature(
     for _ in range(rounds):
         offsets = F.array(*[F.lit(round(half * (2 * i / points - 1), 12)) for i in range(points + 1)])
         if cells:
-            rows = df.join(centre.select(*cells, "log_t"), list(cells))
+            rows = attach(df, centre.select(*cells, "log_t"), cells)
         else:
             rows = df.withColumn("log_t", centre.select("log_t").scalar())
         rows = rows.withColumn("__o", F.explode(offsets))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordmill.functions.nullsafe import attach
 from recordmill.functions.bind import let
 from recordmill.functions.hashing import hash_unit
 from recordmill.operators.ordering import running
@@ -22,7 +23,7 @@ def with_totals(df: DataFrame, cells: Sequence[str], **sums: str) -> DataFrame:
     """Attach per-cell sums; keyword = output name, value = summed column."""
     totals = df.groupBy(*cells).agg(*[F.sum(c).alias(o) for o, c in sums.items()])
     if cells:
-        return df.join(totals, list(cells))
+        return attach(df, totals, cells)
     one = totals.select(F.struct(*sums).alias("__t")).scalar()
     return df.withColumn("__t", one).select(df["*"], *[F.col(f"__t.{o}").alias(o) for o in sums])
 
@@ -199,7 +200,7 @@ def spearman(df: DataFrame, cells: Sequence[str], x: str, y: str) -> DataFrame:
     pairs = materialize(pairs, "pairs")
     rx = rank_table(pairs, cells, "__x", weight="__w").select(*cells, "__x", F.col("avg_rank").alias("__rx"))
     ry = rank_table(pairs, cells, "__y", weight="__w").select(*cells, "__y", F.col("avg_rank").alias("__ry"))
-    ranked = pairs.join(rx, [*cells, "__x"]).join(ry, [*cells, "__y"])
+    ranked = attach(attach(pairs, rx, [*cells, "__x"]), ry, [*cells, "__y"])
     ranked = with_totals(ranked, cells, __n="__w")
     # The mean of average-tie ranks is always (n + 1) / 2.
     dx = F.col("__rx") - (F.col("__n") + 1) / 2
@@ -230,7 +231,7 @@ def kendall_tau(df: DataFrame, cells: Sequence[str], x: str, y: str) -> DataFram
     ys = pairs.select(*cells, "__y").distinct()
     dense = running(ys, cells, [F.asc("__y")], number="__r").withColumn("__r", F.col("__r") - 1)
     bits = int(dense.agg(F.coalesce(F.max("__r"), F.lit(0))).first()[0]).bit_length()
-    ranked = pairs.join(dense, [*cells, "__y"])
+    ranked = attach(pairs, dense, [*cells, "__y"])
 
     levels = F.explode(F.sequence(F.lit(0), F.lit(max(bits - 1, 0))))
     spread = ranked.select(*cells, "__x", "__r", "__w", levels.alias("__level"))
@@ -257,7 +258,7 @@ def kendall_tau(df: DataFrame, cells: Sequence[str], x: str, y: str) -> DataFram
     if cells:
         out = parts[0]
         for p in parts[1:]:
-            out = out.join(p, list(cells))
+            out = attach(out, p, cells)
     else:
         out = parts[0]
         for p, c in zip(parts[1:], ["__n0", "__nx", "__ny"]):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recordmill.functions.nullsafe import attach
 from recordmill.operators.ordering import row_numbers, running
 from recordmill.session import materialize
 
@@ -34,9 +35,9 @@ def rank_table(
 
 
 def average_ranks(df: DataFrame, part: Sequence[str], value: str, out: str, descending: bool = False) -> DataFrame:
-    """Average-tie rank of each row."""
+    """Average-tie rank of each row; null for a null value."""
     table = rank_table(df, part, value, descending).select(*part, value, F.col("avg_rank").alias(out))
-    return df.join(table, [*part, value])
+    return attach(df, table, [*part, value], "left")
 
 
 def train_percentile(
@@ -58,12 +59,12 @@ def train_percentile(
     below = running(both, part, [F.asc(score)], before={"__below": "__t"})
     if part:
         total = both.groupBy(*part).agg(F.sum("__t").alias("__total"))
-        below = below.join(total, list(part))
+        below = attach(below, total, part)
     else:
         below = below.withColumn("__total", both.agg(F.sum("__t")).scalar())
     share = F.col("__below") / F.nullif(F.col("__total"), F.lit(0))
     table = below.select(*part, score, share.alias("train_pct"))
-    return evaluated.join(table, [*part, score], "left")
+    return attach(evaluated, table, [*part, score], "left")
 
 
 def exact_quantiles(df: DataFrame, part: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -73,7 +74,7 @@ def exact_quantiles(df: DataFrame, part: Sequence[str], value: str, probs: dict[
     run = running(counts, part, [F.asc(value)], upto={"__upto": "__n"})
     totals = counts.groupBy(*part).agg((F.sum("__n") - 1).alias("__last"))
     if part:
-        run = run.join(totals, list(part))
+        run = attach(run, totals, part)
     else:
         run = run.withColumn("__last", totals.scalar())
 
@@ -114,12 +115,12 @@ def top_k(df: DataFrame, part: Sequence[str], k: int, order: Sequence[Column], o
 
 
 def percent_ranks(df: DataFrame, part: Sequence[str], value: str, out: str = "percent_rank") -> DataFrame:
-    """``rows before / (n - 1)``, ties share the lowest rank; 0 for a single row."""
+    """``rows before / (n - 1)``, ties share the lowest rank; 0 for a single row, null for a null value."""
     table = rank_table(df, part, value)
     totals = table.groupBy(*part).agg(F.sum("n_tied").alias("__n"))
-    table = table.join(totals, list(part)) if part else table.withColumn("__n", totals.scalar())
+    table = attach(table, totals, part) if part else table.withColumn("__n", totals.scalar())
     pr = F.when(F.col("__n") > 1, F.col("n_before") / (F.col("__n") - 1)).otherwise(F.lit(0.0))
-    return df.join(table.select(*part, value, pr.alias(out)), [*part, value])
+    return attach(df, table.select(*part, value, pr.alias(out)), [*part, value], "left")
 
 
 def set_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], part: Sequence[str] = ()) -> DataFrame:
@@ -127,7 +128,7 @@ def set_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], part: Se
     on = [*part, *keys]
     a = left.select(*on).distinct().withColumn("__a", F.lit(1))
     b = right.select(*on).distinct().withColumn("__b", F.lit(1))
-    return a.join(b, on, "full_outer").groupBy(*part).agg(
+    return a.unionByName(b, allowMissingColumns=True).groupBy(*on).agg(F.max("__a").alias("__a"), F.max("__b").alias("__b")).groupBy(*part).agg(
         F.count(F.when(F.col("__a").isNotNull() & F.col("__b").isNotNull(), 1)).alias("n_both"),
         F.count(F.lit(1)).alias("n_any"),
     ).withColumn("jaccard", F.col("n_both") / F.nullif(F.col("n_any"), F.lit(0)))

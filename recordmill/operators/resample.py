@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordmill.functions.nullsafe import attach
 from recordmill.functions.bind import let
 from recordmill.functions.hashing import hash_key
 from recordmill.operators import metrics
@@ -33,7 +34,7 @@ def unit_index(units: DataFrame, cells: Sequence[str], key: Sequence[str]) -> Da
     placed = placed.withColumn("idx", F.col("idx") - 1)
     sizes = units.groupBy(*cells).agg(F.count(F.lit(1)).alias("n_units"))
     if cells:
-        return placed.join(sizes, list(cells))
+        return attach(placed, sizes, cells)
     return placed.withColumn("n_units", sizes.scalar())
 
 
@@ -53,7 +54,7 @@ def draw_weights(
         .groupBy(*cells, "b", "idx")
         .agg(F.count(F.lit(1)).alias("w"))
     )
-    return weights.join(indexed.select(*cells, *key, "idx"), [*cells, "idx"]).select(
+    return attach(weights, indexed.select(*cells, *key, "idx"), [*cells, "idx"]).select(
         *cells, "b", *key, "w"
     )
 
@@ -70,7 +71,7 @@ def bootstrap_auc(
     compact = metrics.score_counts(records, [*cells, *unit], score, label)
     weights = draw_weights(records.select(*cells, *unit).distinct(), cells, unit, n_boot, seed)
     counts = (
-        weights.join(compact, [*cells, *unit])
+        attach(weights, compact, [*cells, *unit])
         .groupBy(*cells, "b", "score")
         .agg(F.sum(F.col("p") * F.col("w")).alias("p"), F.sum(F.col("n") * F.col("w")).alias("n"))
     )
@@ -115,7 +116,7 @@ def paired_difference(
     compact = metrics.score_counts(long, [*cells, *unit, "side"], "v", label)
     weights = draw_weights(records.select(*cells, *unit).distinct(), cells, unit, n_boot, seed)
     counts = (
-        weights.join(compact, [*cells, *unit])
+        attach(weights, compact, [*cells, *unit])
         .groupBy(*cells, "b", "side", "score")
         .agg(F.sum(F.col("p") * F.col("w")).alias("p"), F.sum(F.col("n") * F.col("w")).alias("n"))
     )
@@ -175,7 +176,7 @@ def permutation_auc(
     """
     clean = units.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     ranks = rank_table(clean, cells, score).select(*cells, score, F.col("avg_rank").alias("__rank"))
-    ranked = clean.join(ranks, [*cells, score])
+    ranked = attach(clean, ranks, [*cells, score])
     totals = clean.groupBy(*cells).agg(
         F.sum(label).cast("bigint").alias("n_pos"), F.sum(1 - F.col(label)).cast("bigint").alias("n_neg")
     )
@@ -188,20 +189,20 @@ def permutation_auc(
     spread = replicates(ranked.select(*cells, *key, "__rank"), n_perm, key)
     placed = hash_positions(spread, [*cells, "b"], seed, ["b", *key])
 
-    def attach(df: DataFrame) -> DataFrame:
+    def with_counts(df: DataFrame) -> DataFrame:
         if cells:
-            return df.join(totals, list(cells))
+            return attach(df, totals, cells)
         one = totals.select(F.struct("n_pos", "n_neg").alias("t")).scalar()
         return df.withColumn("__t", one).withColumns({c: F.col(f"__t.{c}") for c in ("n_pos", "n_neg")}).drop("__t")
 
     drawn = (
-        attach(placed)
+        with_counts(placed)
         .groupBy(*cells, "b", "n_pos", "n_neg")
         .agg(F.sum(F.when(F.col("pos") <= F.col("n_pos"), F.col("__rank"))).alias("__s"))
         .select(*cells, "b", auc(F.col("__s")).alias("perm"))
     )
-    obs = attach(observed).select(*cells, "n_pos", "n_neg", auc(F.col("__s")).alias("auc"))
-    joined = drawn.join(obs, list(cells)) if cells else drawn.withColumn(
+    obs = with_counts(observed).select(*cells, "n_pos", "n_neg", auc(F.col("__s")).alias("auc"))
+    joined = attach(drawn, obs, cells) if cells else drawn.withColumn(
         "__o", obs.select(F.struct("n_pos", "n_neg", "auc")).scalar()
     ).withColumns({c: F.col(f"__o.{c}") for c in ("n_pos", "n_neg", "auc")})
     out = joined.groupBy(*cells, "n_pos", "n_neg", "auc").agg(

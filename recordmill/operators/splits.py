@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordmill.functions.nullsafe import attach
 from recordmill.functions.hashing import hash_key
 from recordmill.operators.ordering import row_numbers
 from recordmill.operators.ranks import top_k
@@ -34,7 +35,7 @@ def hash_positions(
     placed = row_numbers(hashed, strata, [F.asc("__h"), *[F.asc(k) for k in key]], out).drop("__h")
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias(f"{out}_n"))
     if strata:
-        return placed.join(sizes, list(strata))
+        return attach(placed, sizes, strata)
     return placed.withColumn(f"{out}_n", sizes.scalar())
 
 
@@ -54,11 +55,13 @@ def split_stratified(
 ) -> DataFrame:
     """Whole holdout domains; the rest train/val/test.
 
-    Training rows are drawn per (domain, label); what is left is halved per label only.
+    Training rows are drawn per (domain, label); what is left is halved per label only. A null
+    domain or label is a stratum of its own, so every row is in exactly one side.
     """
     held = F.concat(F.lower(F.col(domain)), F.lit("_holdout"))
-    out_rows = df.where(F.col(domain).isin(*holdouts)).withColumn("split", held)
-    rest = df.where(~F.col(domain).isin(*holdouts))
+    outside = F.coalesce(F.col(domain).isin(*holdouts), F.lit(False))  # a null domain is none of them
+    out_rows = df.where(outside).withColumn("split", held)
+    rest = df.where(~outside)
     first = hash_positions(rest, [domain, label], seed, key)
     is_train = F.col("pos") <= half_up(F.col("pos_n") * F.lit(train))
     train_rows = first.where(is_train).select(*df.columns).withColumn("split", F.lit("train"))
@@ -89,9 +92,9 @@ def split_grouped(
 ) -> DataFrame:
     """Whole groups go to val or test; ``strata`` must be constant inside a group."""
     own = [s for s in strata if s not in group]
-    groups = records.groupBy(*group).agg(*[F.max(s).alias(s) for s in own])
+    groups = records.groupBy(*group).agg(*[F.max(s).alias(s) for s in own]) if own else records.select(*group).distinct()
     sides = split_halves(groups, strata, group, seeds, test_share)
-    return records.join(sides.select(*group, "seed", "split"), list(group))
+    return attach(records, sides.select(*group, "seed", "split"), group)
 
 
 def kfold_stratified(df: DataFrame, strata: Sequence[str], key: Sequence[str], k: int, seed: int) -> DataFrame:
@@ -131,7 +134,7 @@ def shuffle_values(
     values = hash_positions(df, part, seed + 1, key, "__to").select(
         *part, "__to", F.col(value).alias(out)
     )
-    return rows.join(values, [*part, "__to"]).drop("__to")
+    return attach(rows, values, [*part, "__to"]).drop("__to")
 
 
 def domain_combinations(domains: Sequence[str], sizes: Sequence[int]) -> list[tuple[str, ...]]:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordmill.functions.nullsafe import attach
 from recordmill.functions.dates import approx_days, interval_bin
 
 UNKNOWN = "unknown"
@@ -178,7 +179,7 @@ def size_weights(df: DataFrame, cells: Sequence[str], kind: str, out: str = "wei
     else:
         total = sizes.agg((F.sum("__n_cell") / F.count(F.lit(1))).alias("per_cell"))
         table = sizes.select(*cells, (total.scalar() / F.col("__n_cell")).alias(out))
-    return df.join(table, list(cells), "left")
+    return attach(df, table, cells, "left")
 
 
 def composition_subset(
@@ -190,4 +191,4 @@ def composition_subset(
         F.coalesce(F.bool_or(F.col(category).isin(*allowed)), F.lit(False)).alias("__touches"),
     )
     keep = groups.where((F.col("__label") == 0) | F.col("__touches")).select(*group)
-    return records.join(keep, list(group), "left_semi")
+    return attach(records, keep, group, "left_semi")

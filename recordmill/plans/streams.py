@@ -12,6 +12,6 @@ from recordmill.streaming import first_seen
 )
 def stream_first_seen(t: Tables):
     out = first_seen.run_available(
-        t.spark, t.folder, t.events.schema, "event_id", "ts", ["user_id"], "event_type", "events.parquet"
+        t.spark, f"{t.folder}/events.parquet", t.events.schema, "event_id", "ts", ["user_id"], "event_type"
     )
     return out.withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz"))

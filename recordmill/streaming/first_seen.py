@@ -10,51 +10,50 @@ from pyspark.sql.types import StructType
 from recordmill.session import new_path
 
 
-def read_events(spark: SparkSession, folder: str, schema: StructType, files: str = "*.parquet") -> DataFrame:
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", files).parquet(folder)
-    )
+def read_events(spark: SparkSession, table: str, schema: StructType, files: int = 16) -> DataFrame:
+    """Stream of the files of a table, a folder of part files or one file, ``files`` per batch."""
+    # as a pattern, because a plain path of the file source must be a folder
+    pattern = f"{table[:-1]}[{table[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(pattern)
 
 
-def first_seen_stream(
-    events: DataFrame, key: str, ts: str, group: list[str], category: str, late: str = "2 days"
-) -> DataFrame:
-    """Earliest time per (group, category), with repeated event ids inside the lateness removed.
+def sightings(events: DataFrame, key: str, ts: str, group: list[str], category: str) -> DataFrame:
+    """What the timeline needs of each event."""
+    return events.select(*group, category, F.col(key).alias("__key"), F.col(ts).cast("timestamp").alias("__ts"))
 
-    State is one row per (group, category) plus the ids seen within the watermark.
-    """
-    typed = events.withColumn(ts, F.col(ts).cast("timestamp"))
-    unique = typed.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
-    return unique.groupBy(*group, category).agg(F.min(ts).alias("first_ts"), F.count(F.lit(1)).alias("n"))
 
+def start_to_table(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Write each batch, repeats within it removed, as one folder; a replayed batch replaces its folder.
 
-def start_to_table(stream: DataFrame, group: list[str], category: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Write each update as one idempotent batch folder; a replayed batch replaces its folder."""
+    No row is too late: nothing is dropped by a watermark, and repeats in other batches are removed
+    when the timeline is read. The written sightings take the place of unbounded state.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        rest = [c for c in batch.columns if c != "__ts"]
+        seen = batch.groupBy(*rest).agg(F.min("__ts").alias("__ts"))
+        seen.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (
-        stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        stream.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).foreachBatch(write).start()
     )
 
 
-def latest(spark: SparkSession, target: str, group: list[str], category: str) -> DataFrame:
-    """Current timeline: the last update of each (group, category)."""
-    updates = spark.read.parquet(target)
-    rest = [c for c in updates.columns if c not in {*group, category, "batch"}]
-    last = F.max_by(F.struct(*rest), F.col("batch")).alias("r")
-    return updates.groupBy(*group, category).agg(last).select(*group, category, "r.*")
+def latest(spark: SparkSession, target: str, schema: StructType, group: list[str], category: str) -> DataFrame:
+    """Earliest time and number of distinct events of each (group, category)."""
+    found = spark.read.schema(schema).parquet(target)
+    once = found.groupBy(*group, category, "__key").agg(F.min("__ts").alias("__ts"))
+    return once.groupBy(*group, category).agg(F.min("__ts").alias("first_ts"), F.count(F.lit(1)).alias("n"))
 
 
 def run_available(
-    spark: SparkSession, folder: str, schema: StructType, key: str, ts: str, group: list[str], category: str,
-    files: str = "*.parquet",
+    spark: SparkSession, table: str, schema: StructType, key: str, ts: str, group: list[str], category: str,
+    files: int = 16,
 ) -> DataFrame:
-    """Process everything that has arrived and return the timeline."""
-    stream = first_seen_stream(read_events(spark, folder, schema, files), key, ts, group, category)
+    """Process everything that has arrived, in any order, and return the timeline."""
+    stream = sightings(read_events(spark, table, schema, files), key, ts, group, category)
     target = new_path(spark, "timeline")
-    run = start_to_table(stream, group, category, target, new_path(spark, "offsets"))
+    run = start_to_table(stream, target, new_path(spark, "offsets"))
     run.awaitTermination()
-    return latest(spark, target, group, category)
+    return latest(spark, target, stream.schema, group, category)
