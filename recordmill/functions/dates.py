@@ -8,49 +8,44 @@ from pyspark.sql import functions as F
 from recordmill.functions.bind import let
 from recordmill.functions.hashing import _col
 
-MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 DEFAULT_MONTH = 6
 DAYS_PER_YEAR, DAYS_PER_MONTH = 365, 30
 
-# One regex per accepted format with the group numbers of year, month and day (0 = absent).
-DATE_FORMATS = [
-    ("^(\\d{1,2})-([A-Za-z]{3})-(\\d{4})$", 3, 2, 1),
-    ("^([A-Za-z]{3})-(\\d{4})$", 2, 1, 0),
-    ("^(\\d{4})-(\\d{1,2})-(\\d{1,2})$", 1, 2, 3),
-    ("^(\\d{4})/(\\d{1,2})/(\\d{1,2})$", 1, 2, 3),
-    ("^(\\d{4})-(\\d{1,2})$", 1, 2, 0),
-    ("^(\\d{4})$", 1, 0, 0),
-]
+#: Datetime patterns of whole dates, of months and of years.
+DAY_PATTERNS, MONTH_PATTERNS = ("d-MMM-yyyy", "yyyy-M-d", "yyyy/M/d"), ("MMM-yyyy", "yyyy-M")
 
 
 def parse_partial_date(raw: Column | str) -> Column:
-    """Struct ``(y, m, d, precision)`` from six formats; nulls where a part is missing.
+    """Struct ``(y, m, d, precision)``; nulls where a part is missing.
 
-    A range of years or any other text gives nulls and the precision ``none``.
+    A text that has the shape of a date with a month's name, but no month of that name, still
+    gives its year and day. A numeric date that no calendar has, a range of years or any other text gives nulls
+    and the precision ``none``.
     """
     text = F.trim(_col(raw))
+    # month names are matched in any case
+    named = F.regexp_replace(F.initcap(F.lower(F.regexp_replace(text, "-", " "))), " ", "-")
 
-    def part(pattern: str, group: int) -> Column:
-        return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-
-    def month(pattern: str, group: int) -> Column:
-        found = part(pattern, group)
-        named = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(found))
-        # An unknown month name leaves the month empty.
-        return F.coalesce(found.try_cast("int"), F.nullif(named, F.lit(0)).cast("int"))
-
-    none = F.lit(None).cast("int")
-    y = F.coalesce(*[part(p, gy).cast("int") for p, gy, _, _ in DATE_FORMATS])
-    m = F.coalesce(none, *[month(p, gm) for p, _, gm, _ in DATE_FORMATS if gm])
-    d = F.coalesce(none, *[part(p, gd).cast("int") for p, _, _, gd in DATE_FORMATS if gd])
+    def first(patterns: tuple[str, ...]) -> Column:
+        tries = [F.try_to_timestamp(named if "MMM" in p else text, F.lit(p)).cast("date") for p in patterns]
+        return F.coalesce(*tries)
 
     def described(v: Column) -> Column:
-        precision = (
-            F.when(v["y"].isNull(), "none").when(v["m"].isNull(), "year").when(v["d"].isNull(), "month").otherwise("day")
-        )
-        return F.struct(v["y"].alias("y"), v["m"].alias("m"), v["d"].alias("d"), precision.alias("precision"))
-
-    return let(described, y=y, m=m, d=d)
+        date = F.coalesce(v["day"], v["month"])
+        odd = F.split(v["odd"], "-")
+        y = F.coalesce(F.year(date), F.element_at(odd, -1).try_cast("int"), v["year"])
+        m = F.month(date)
+        d = F.coalesce(F.day(v["day"]), F.when(F.size(odd) == 3, F.element_at(odd, 1).try_cast("int")))
+        precision = F.when(y.isNull(), "none").when(m.isNull(), "year").when(d.isNull(), "month").otherwise("day")
+        return F.struct(y.alias("y"), m.alias("m"), d.alias("d"), precision.alias("precision"))
+
+    return let(
+        described,
+        day=first(DAY_PATTERNS),
+        month=first(MONTH_PATTERNS),
+        year=F.when(text.rlike("^[0-9]{4}$"), text).try_cast("int"),
+        odd=F.when(text.rlike("^([0-9]{1,2}-)?[A-Za-z]{3}-[0-9]{4}$"), text),
+    )
 
 
 def ym_string(year: Column, month: Column) -> Column:

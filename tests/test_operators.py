@@ -15,12 +15,13 @@ def column(spark, values, fn, schema="x string"):
 
 
 def test_partial_dates(spark):
-    raw = ["05-Mar-2013", "Mar-2013", "2013-03-05", "2013/03/05", "2013-03", "2013", "2013/2014", "", None, "n/a", " 2013 ", "05-Foo-2013"]
+    raw = ["05-Mar-2013", "Mar-2013", "2013-03-05", "2013/03/05", "2013-03", "2013", "2013/2014", "", None, "n/a", " 2013 ", "05-Foo-2013", "2013-13-45", "2013-02-30"]
     got = [tuple(x) for x in column(spark, raw, dates.parse_partial_date)]
     assert got == [
         (2013, 3, 5, "day"), (2013, 3, None, "month"), (2013, 3, 5, "day"), (2013, 3, 5, "day"), (2013, 3, None, "month"),
         (2013, None, None, "year"), (None, None, None, "none"), (None, None, None, "none"), (None, None, None, "none"),
         (None, None, None, "none"), (2013, None, None, "year"), (2013, None, 5, "year"),
+        (None, None, None, "none"), (None, None, None, "none"),
     ]
 
 
