@@ -7,11 +7,10 @@ holds a large share of all rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +18,7 @@ from recordmill.functions.nullsafe import attach
 from recordmill.functions.hashing import hash_key
 from recordmill.operators.ordering import row_numbers
 from recordmill.operators.ranks import top_k
-
-SEARCH_GROUPS = 20_000
+from recordmill.session import materialize
 
 
 def half_up(x: Column) -> Column:
@@ -151,92 +149,56 @@ def train_roles(domains_df: DataFrame, domain: str, combos: Sequence[Sequence[st
 
 # Balanced grouped split by random search
 
+PRIME = (1 << 31) - 1
+
 
-def _fill(order: np.ndarray, sizes: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Greedy fill for a batch of group orders; returns the side of each group per order."""
-    trials, n = order.shape
-    total = sizes.sum()
-    filled = np.zeros((trials, len(targets)))
-    side = np.zeros((trials, n), dtype=np.int8)
-    rows = np.arange(trials)
-    for step in range(n):
-        g = order[:, step]
-        pick = np.argmax(targets - filled / total, axis=1)
-        side[rows, g] = pick
-        filled[rows, pick] += sizes[g]
-    return side
-
-
-def _orders(trials: np.ndarray, n: int, seed: int) -> np.ndarray:
-    return np.stack([np.random.default_rng(seed * 10_000 + int(t)).permutation(n) for t in trials])
-
-
-def _deviation(side, counts, domain_of, n_domains, targets, minimum) -> np.ndarray:
-    """Deviation per trial, infinite where a side misses a class minimum or a domain."""
-    sizes, total = counts.sum(axis=1), counts.sum()
-    dev = np.zeros(side.shape[0])
-    share_all = counts.sum(axis=0) / total
-    for s in range(len(targets)):
-        inside = (side == s).astype(float)
-        per_class = inside @ counts
-        n = inside @ sizes
-        if s > 0:
-            bad = (per_class < minimum).any(axis=1) | (n == 0)
-            for d in range(n_domains):
-                bad |= inside[:, domain_of == d].sum(axis=1) == 0
-            dev[bad] = np.inf
-            dev += np.abs(per_class / np.maximum(n, 1)[:, None] - share_all).sum(axis=1)
-        dev += np.abs(n / total - targets[s])
-    return dev
+def trial_side(trial: Column, group_hash: Column, seed: int, targets: dict[str, float]) -> Column:
+    """Name of the side a group takes in a trial, from a linear map of its hash modulo a prime.
+
+    ``group_hash`` is below ``PRIME``; the two coefficients of the map are hashes of the trial.
+    """
+    scale = F.pmod(hash_key(seed, F.lit("scale"), trial), F.lit(PRIME - 1)) + 1
+    shift = F.pmod(hash_key(seed, F.lit("shift"), trial), F.lit(PRIME))
+    return cut(F.pmod(group_hash * scale + shift, F.lit(PRIME)), F.lit(PRIME), list(targets.items()))
 
 
 def balanced_search(
     records: DataFrame, group: Sequence[str], domain: str, cls: str, classes: Sequence[int],
     targets: dict[str, float], minimum: Sequence[int], trials: int, seed: int = 42,
-    limit: int = SEARCH_GROUPS,
 ) -> tuple[DataFrame, float]:
-    """Grouped split with the smallest deviation from the targets over random greedy fills.
-
-    Returns (group columns, split) and the deviation of the winner. The trials run in parallel
-    tasks over a summary with one row per group. With more than ``limit`` groups, whole groups are
-    first bundled by hash so that the summary stays bounded; every group still has one side.
+    """Grouped split with the smallest deviation from the targets over random assignments.
+
+    In each trial every group takes a side by its hash, with the target shares as probabilities.
+    The deviation adds the differences between shares and targets of all sides, and between
+    class shares of a side and of all rows for every side but the first. Sides but the first must
+    have at least ``minimum`` rows of each class and a group of each domain. Trials are scored by
+    aggregates only, so any number of groups works by the same rule; ties go to the smaller trial.
+    Returns (group columns, split) and the deviation of the winner.
     """
-    spark = records.sparkSession
-    counts = records.groupBy(*group).agg(
-        *[F.count(F.when(F.col(cls) == c, 1)).alias(f"c{i}") for i, c in enumerate(classes)]
-    )
-    n_groups = counts.count()
-    bundle = None
-    if n_groups > limit:
-        n_domains = counts.select(domain).distinct().count()
-        if n_domains > limit:
-            raise ValueError("more domains than the search can cover on each side")
-        bundle = F.pmod(hash_key(seed, *group), F.lit(limit // n_domains))
-    names = counts.withColumn(
-        "__unit", F.concat_ws("/", *group) if bundle is None else F.concat_ws("/", domain, bundle)
+    counts = [f"c{i}" for i in range(len(classes))]
+    groups = records.groupBy(*group).agg(
+        *[F.count(F.when(F.col(cls) == c, 1)).alias(n) for c, n in zip(classes, counts)]
+    ).withColumn("__h", F.pmod(hash_key(seed, *group), F.lit(PRIME)))
+    groups = materialize(groups, "groups")
+    of_all = groups.agg(F.count_distinct(F.struct(domain)).alias("d"), *[F.sum(c).alias(c) for c in counts]).first()
+    total = sum(of_all[c] for c in counts)
+    drawn = groups.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    drawn = drawn.withColumn("split", trial_side(F.col("trial"), F.col("__h"), seed, targets))
+    per_domain = drawn.groupBy("trial", "split", domain).agg(*[F.sum(c).alias(c) for c in counts])
+    sides = per_domain.groupBy("trial", "split").agg(F.count(F.lit(1)).alias("d"), *[F.sum(c).alias(c) for c in counts])
+    n = sum(F.col(c) for c in counts)
+    first = next(iter(targets))
+    target = F.element_at(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]), F.col("split"))
+    classwise = sum(F.abs(F.col(c) / n - of_all[c] / total) for c in counts)
+    apart = F.abs(n / total - target) + F.when(F.col("split") == first, 0.0).otherwise(classwise)
+    enough = reduce(lambda a, b: a & b, [F.col(c) >= m for c, m in zip(counts, minimum)])
+    fine = (F.col("split") == first) | (enough & (F.col("d") == of_all["d"]))
+    scored = sides.groupBy("trial").agg(
+        F.round(F.sum(apart), 9).alias("deviation"), F.bool_and(fine).alias("fine"),
+        F.count(F.when(F.col("split") != first, 1)).alias("sides"),
     )
-    units = names.groupBy("__unit", domain).agg(
-        *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(classes))]
-    )
-    table = units.orderBy("__unit").toPandas()
-    matrix = table[[f"c{i}" for i in range(len(classes))]].to_numpy(float)
-    domain_of, domain_names = pd.factorize(table[domain], sort=True)
-    want, floor_ = np.array(list(targets.values())), np.array(minimum)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for chunk in np.array_split(pdf["id"].to_numpy(), max(1, len(pdf) // 64)):
-                side = _fill(_orders(chunk, len(matrix), seed), matrix.sum(axis=1), want)
-                dev = _deviation(side, matrix, domain_of, len(domain_names), want, floor_)
-                yield pd.DataFrame({"trial": chunk, "deviation": dev})
-
-    tasks = min(trials, 4 * spark.sparkContext.defaultParallelism)
-    scored = spark.range(0, trials, 1, tasks).mapInPandas(run, "trial long, deviation double")
-    best = scored.agg(F.min(F.struct("deviation", "trial")).alias("b")).first().b
-    if not np.isfinite(best.deviation):
+    best = scored.where(F.col("fine") & (F.col("sides") == len(targets) - 1)).agg(F.min(F.struct("deviation", "trial")).alias("b")).first().b
+    if best is None:
         raise ValueError("no trial meets the class and domain minima")
-    side = _fill(_orders(np.array([best.trial]), len(matrix), seed), matrix.sum(axis=1), want)[0]
-    chosen = spark.createDataFrame(
-        pd.DataFrame({"__unit": table["__unit"], "split": np.array(list(targets))[side]})
-    )
-    return names.join(chosen, "__unit").select(*group, "split"), float(best.deviation)
+    chosen = groups.select(*group, trial_side(F.lit(best.trial), F.col("__h"), seed, targets).alias("split"))
+    return chosen, float(best.deviation)

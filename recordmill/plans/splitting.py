@@ -82,11 +82,30 @@ def split_random_arm(t: Tables):
     return random_arm(inherited(t))
 
 
-@query("split_balanced_search")
+BALANCED_SQL = f"""
+    with m as (select domain, group_id, case when price < 150000 then 0 when price < 300000 then 1 else 2 end as cls from ({MEMBERS_SQL})),
+    g as (select domain, group_id, count(*) filter (cls = 0) as c0, count(*) filter (cls = 1) as c1, count(*) filter (cls = 2) as c2,
+                 {sql_hash(42, 'domain', 'group_id')} % 2147483647 as h from m group by domain, group_id),
+    t as (select trial, {sql_hash(42, "'scale'", 'trial')} % 2147483646 + 1 as a, {sql_hash(42, "'shift'", 'trial')} % 2147483647 as b
+          from (select unnest(range(5000)) as trial)),
+    x as (select *, (h * a + b) % 2147483647 as pos from g, t),
+    d as (select *, case when pos <= floor(2147483647 * 0.7::double + 0.5) then 'train'
+                         when pos <= floor(2147483647 * 0.85::double + 0.5) then 'val' else 'test' end as split from x),
+    s as (select trial, split, count(distinct domain) as nd, sum(c0) as c0, sum(c1) as c1, sum(c2) as c2, sum(c0 + c1 + c2) as n from d group by all),
+    o as (select count(distinct domain) as nd, sum(c0) as c0, sum(c1) as c1, sum(c2) as c2, sum(c0 + c1 + c2) as n from g),
+    v as (select trial, round(sum(abs(s.n / o.n - case split when 'train' then 0.7::double else 0.15::double end)
+                   + case when split = 'train' then 0 else abs(s.c0 / s.n - o.c0 / o.n) + abs(s.c1 / s.n - o.c1 / o.n) + abs(s.c2 / s.n - o.c2 / o.n) end), 9) as deviation
+          from s, o group by trial
+          having bool_and(split = 'train' or (s.c0 >= 5 and s.c1 >= 5 and s.c2 >= 3 and s.nd = o.nd)) and count(*) filter (split <> 'train') = 2),
+    w as (select trial from v order by deviation, trial limit 1)
+    select split, cls, count(*) as n from (select domain, group_id, split from d join w using (trial)) join m using (domain, group_id) group by split, cls"""
+
+
+@query("split_balanced_search", BALANCED_SQL)
 def split_balanced_search(t: Tables):
     m = members(t).select(*GROUP, F.when(F.col("price") < 150000, 0).when(F.col("price") < 300000, 1).otherwise(2).alias("cls"))
     chosen, _ = splits.balanced_search(
-        m, GROUP, "domain", "cls", [0, 1, 2], {"train": 0.7, "val": 0.15, "test": 0.15}, [5, 5, 3], trials=512
+        m, GROUP, "domain", "cls", [0, 1, 2], {"train": 0.7, "val": 0.15, "test": 0.15}, [5, 5, 3], trials=5000
     )
     return m.join(chosen, GROUP).groupBy("split", "cls").agg(F.count(F.lit(1)).alias("n"))
 
@@ -141,7 +160,8 @@ def temporal_split(t: Tables):
 )
 def domain_combinations(t: Tables):
     per = records(t).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_pos"))
-    names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    # one row per segment: the list of segments is metadata
+    names = [r["domain"] for r in per.select("domain").where("domain is not null").collect()]
     combos = splits.domain_combinations(names, [1, 2, 3])
     return splits.train_roles(per, "domain", combos).groupBy("train_set", "role").agg(
         F.count(F.lit(1)).alias("n_domains"), F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos")
