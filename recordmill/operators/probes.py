@@ -148,17 +148,24 @@ def fit_regression(train: DataFrame, vector: str, target: str, form: str, alpha:
     return predict
 
 
-def erase_label(df: DataFrame, vector: str, label: str, rounds: int, c: float = 1.0) -> tuple[DataFrame, list[list[float]]]:
-    """Iteratively fit the nuisance label and project its direction out."""
-    directions: list[list[float]] = []
-    n = df.count()
+def erase_label(
+    df: DataFrame, vector: str, label: str, rounds: int, c: float = 1.0, fit_on: Column | None = None
+) -> tuple[list[DataFrame], list[list[float]]]:
+    """Iteratively fit the nuisance label and project its direction out.
+
+    Returns the table after 0, 1, ... rounds and the directions. Rows that meet ``fit_on`` (default: all)
+    are fitted; every row is projected.
+    """
+    states, directions = [df], []
     for _ in range(rounds):
-        w = _fit(df.withColumn("__x", array_to_vector(F.col(vector))), label, c, n).coefficients.toArray()
+        train = df if fit_on is None else df.where(fit_on)
+        w = _fit(train.withColumn("__x", array_to_vector(F.col(vector))), label, c, train.count()).coefficients.toArray()
         u = w / (np.linalg.norm(w) + 1e-12)
         directions.append([float(x) for x in u])
         # Each round is written, so that the plan does not grow with the number of rounds.
         df = materialize(df.withColumn(vector, V.erase(F.col(vector), V.literal(u))), "erased")
-    return df, directions
+        states.append(df)
+    return states, directions
 
 
 def axis_shares(axes: Sequence[Sequence[float]], w: Sequence[float]) -> list[float]:

@@ -236,19 +236,39 @@ def erase_direction(t: Tables):
 
 @query("erase_direction_fit")
 def erase_direction_fit(t: Tables):
-    """AUC of a fresh probe for the nuisance label after each round of erasure."""
-    e = emb(t).select("vec_id", "y", "x")
-    erased, dirs = probes.erase_label(e, "x", "y", rounds=2)
-    scored = erased.select("vec_id", "y", *[V.dot(F.col("x"), V.literal(d)).alias(f"d{i}") for i, d in enumerate(dirs)])
-    long = scored.unpivot(["vec_id", "y"], [f"d{i}" for i in range(len(dirs))], "direction", "s")
-    return metrics.auc(long, ["direction"], "s", "y")
+    """AUC on a held-out fold of fresh probes for the target and for the nuisance label after each round of erasing the latter."""
+    e = emb(t).select("vec_id", "y", "x", (F.col("domain") == 0).cast("int").alias("nuisance"))
+    e = materialize(splits.kfold_stratified(e, ["y", "nuisance"], ["vec_id"], 3, 84), "folds")
+    train = F.col("fold") > 0
+    states, _ = probes.erase_label(e, "x", "nuisance", 3, fit_on=train)
+    out = None
+    for number, state in enumerate(states):
+        for label in ("y", "nuisance"):
+            probe = probes.fit_probe(state.where(train), "x", label, ["vec_id"], grid=(1.0,))
+            scored = state.where(~train).select(
+                F.lit(number).alias("round"), F.lit(label).alias("target"), F.col(label).alias("label"), probe.score("x").alias("s")
+            )
+            out = scored if out is None else out.unionByName(scored)
+    return metrics.auc(out, ["round", "target"], "s", "label")
 
 
 @query("pca2")
 def pca2(t: Tables):
-    rows = emb(t).select("vec_id", array_to_vector("x").alias("v"))
-    out = PCA(k=2, inputCol="v", outputCol="p").fit(rows).transform(rows)
-    return out.select("vec_id", vector_to_array("p").alias("p")).select("vec_id", F.col("p")[0].alias("pc1"), F.col("p")[1].alias("pc2"))
+    """Two principal components of vectors standardised on the training domains, and their share of the variance.
+
+    The largest loading of a component is positive.
+    """
+    e = emb(t).select("vec_id", "domain", "x")
+    train = e.where("domain <= 2")
+    z = vectors.standardize(train, e, "x")
+    model = PCA(k=2, inputCol="v", outputCol="p").fit(z.where("domain <= 2").select(array_to_vector("z").alias("v")))
+    axes = model.pc.toArray().T
+    axes = [[float(x) * (1 if max(a, key=abs) > 0 else -1) for x in a] for a in axes.tolist()]
+    shares = [float(x) for x in model.explainedVariance]
+    return z.select(
+        "vec_id", *[V.dot(F.col("z"), V.literal(a)).alias(f"pc{i + 1}") for i, a in enumerate(axes)],
+        *[F.lit(x).alias(f"share{i + 1}") for i, x in enumerate(shares)],
+    )
 
 
 @query(
