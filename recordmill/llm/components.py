@@ -2,42 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from recordmill.llm.common import materialize
+from recordmill.llm.common import new_path
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Smallest reachable node of every linked node: columns ``node, root``.
+def _write(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Write the edges; also their number and a sum of hashes, which tell whether a round changed them."""
+    seen = Observation()
+    path = new_path(edges.sparkSession, "edges")
+    edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).write.parquet(path)
+    return edges.sparkSession.read.schema("u bigint, v bigint").parquet(path), tuple(seen.get.values())
 
-    Each round turns every node's links to its smallest neighbour (first the links to larger
-    nodes, then those to smaller ones), so stars form and the number of rounds grows with the logarithm of the
-    longest path. A node with very many links is split by Spark, because the smallest neighbour
-    is an aggregate joined back, never a list. Rows with a null end and self links are dropped.
+
+def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+    """Smallest reachable node of every linked node: columns ``node, root``, both integers.
+
+    Large-star and small-star rounds: the larger neighbours of every node move to its smallest
+    neighbour, then the smaller ones and the node itself do, until only stars are left. The
+    number of rounds grows with the logarithm of the longest path. The smallest neighbour is an aggregate
+    joined back, never a list, so a node may have any number of links. Rows with a null end
+    and self links are dropped.
     """
     pair = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    edges = materialize(pair.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    edges, before = _write(pair.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
-        # large star: larger neighbours of u go to the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        large = materialize(large, "large-star")
-        # small star: smaller neighbours of u, and u itself, go to the smallest of them
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.where("u <> v").distinct(), "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.count_distinct("u")).first()
-        if now == before and now[0] == now[2]:
+        moved = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+        small = large.join(low, "u").select(moved.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        edges, now = _write(small)
+        if now == before:
             break
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -28,7 +28,12 @@ from recordmill.llm.shingles import mix, shingle_set, words
 #: Members from which on a cell is divided again.
 LARGE_CELL = 64
 
-_CLASS = "id bigint, n bigint, cls bigint, chk bigint"
+#: Longs of the parity sketch of a set: bit ``i`` tells whether an odd number of shingles fall to it. Two sets differ
+#: in at least as many shingles as their sketches in bits.
+SKETCH = 4
+_SKETCH = [f"s{i}" for i in range(SKETCH)]
+
+_CLASS = "id bigint, n bigint, cls bigint, chk bigint, " + ", ".join(f"{c} bigint" for c in _SKETCH)
 _CELL = "region bigint, item bigint, n bigint"
 
 
@@ -43,12 +48,16 @@ def _signed(values) -> np.ndarray:
 
 def _classes(batch: pa.RecordBatch, size: int, short: bool) -> pa.RecordBatch:
     n, one, two = [], [], []
-    for text in batch.column(1).to_pylist():
+    bits = np.zeros((batch.num_rows, 64 * SKETCH), np.uint8)
+    for k, text in enumerate(batch.column(1).to_pylist()):
         s = shingle_set(text, size, short)
         x, y = _identity(s)
         n.append(len(s)), one.append(x), two.append(y)
+        bits[k] = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    sketch = np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(-1, SKETCH)
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(one)), pa.array(_signed(two))], ["id", "n", "cls", "chk"]
+        [batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(one)), pa.array(_signed(two)), *[pa.array(sketch[:, i].copy()) for i in range(SKETCH)]],
+        ["id", "n", "cls", "chk", *_SKETCH],
     )
 
 
@@ -163,7 +172,14 @@ def jaccard_groups(
     def fits(a: str, b: str) -> Column:
         return F.least(a + "n", b + "n") * den >= F.greatest(a + "n", b + "n") * num
 
-    links = links_in_regions(members, measure, 1 - num / den, True, fits, ("n",))
+    def sharper(a: str, b: str) -> Column:
+        apart = sum(F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in _SKETCH)
+        # |A xor B| (num + den) <= (|A| + |B|) (den - num), and it is at least ``apart``
+        return apart * (num + den) <= (F.col(a + "n") + F.col(b + "n")) * (den - num)
+
+    info = classes.where("n > 0").groupBy(F.col("cls").alias("item")).agg(F.min("n").alias("n"), *[F.min_by(c, "chk").alias(c) for c in _SKETCH])
+    info = materialize(info, "sketches")
+    links = links_in_regions(members.distinct(), measure, 1 - num / den, True, fits, ("n",), info, sharper)
     roots = components(links)
     group = classes.where("n > 0").join(roots, F.col("cls") == F.col("node"), "left")
     group = group.select("id", "n", "cls", "chk", F.coalesce("root", "cls").alias("root"), F.when(F.col("root").isNull(), F.col("chk")).alias("own"))
