@@ -33,7 +33,7 @@ LARGE_CELL = 64
 SKETCH = 4
 _SKETCH = [f"s{i}" for i in range(SKETCH)]
 
-_CLASS = "id bigint, n bigint, cls bigint, chk bigint, " + ", ".join(f"{c} bigint" for c in _SKETCH)
+_CLASS = "id bigint, row bigint, n bigint, cls bigint, chk bigint, " + ", ".join(f"{c} bigint" for c in _SKETCH)
 _CELL = "region bigint, item bigint, n bigint"
 
 
@@ -49,15 +49,15 @@ def _signed(values) -> np.ndarray:
 def _classes(batch: pa.RecordBatch, size: int, short: bool) -> pa.RecordBatch:
     n, one, two = [], [], []
     bits = np.zeros((batch.num_rows, 64 * SKETCH), np.uint8)
-    for k, text in enumerate(batch.column(1).to_pylist()):
+    for k, text in enumerate(batch.column(2).to_pylist()):
         s = shingle_set(text, size, short)
         x, y = _identity(s)
         n.append(len(s)), one.append(x), two.append(y)
         bits[k] = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
     sketch = np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(-1, SKETCH)
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(one)), pa.array(_signed(two)), *[pa.array(sketch[:, i].copy()) for i in range(SKETCH)]],
-        ["id", "n", "cls", "chk", *_SKETCH],
+        [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(_signed(one)), pa.array(_signed(two)), *[pa.array(sketch[:, i].copy()) for i in range(SKETCH)]],
+        ["id", "row", "n", "cls", "chk", *_SKETCH],
     )
 
 
@@ -134,15 +134,16 @@ def jaccard_groups(
     their own component. Rows with a null id are kept with a null component unless their text
     equals or is linked with a row that has an id. Repeated rows stay. Other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # rows are found again by a hash of id and text, so a null id is no loss
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     rule = (size, short, num, den)
     classes = materialize(map_batches(texts, _classes, _CLASS, size, short), "classes")
-    reps = classes.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"))
+    reps = classes.where("n > 0").groupBy("cls").agg(F.min("row").alias("row"))
 
     def held(items: DataFrame) -> DataFrame:
         """Text of one document for each ``cls`` in ``items``."""
         wanted = materialize(reps.join(items, "cls"), "wanted")
-        found = texts.where(maybe_in("id", wanted.select("id"))).join(wanted, "id")
+        found = texts.where(maybe_in("row", wanted.select("row"))).join(wanted, "row")
         return materialize(found.groupBy("cls").agg(F.min("text").alias("text")), "texts")
 
     def cells(source: DataFrame, run: int) -> DataFrame:
