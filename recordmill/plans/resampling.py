@@ -7,6 +7,7 @@ from recordmill.operators import metrics, resample, splits
 from recordmill.plans.common import GROUP, MEMBERS_SQL, members
 from recordmill.plans.registry import Tables, query
 from recordmill.plans.scores import MULTI_SQL, _r, sql_auc
+from recordmill.session import materialize
 
 B = 50
 # Records with a score and a group-constant label: the group ever had an order above 480000.
@@ -215,21 +216,52 @@ def set_permutation(t: Tables):
     return _r(resample.set_permutation(items, ["p_partkey"], "s", "v", 40, 107), "stat", "null_mean", "p_value")
 
 
-@query("shuffled_null")
+SHUFFLES = 40
+_PROFILE_SQL = """
+    select o_orderkey, year(o_orderdate) as yr, case when o_orderpriority = '1-URGENT' then 1 else 0 end as label,
+           o_totalprice as price, cast(dayofyear(o_orderdate) as double) as day from orders"""
+SHUFFLED_NULL_SQL = f"""
+    with r as ({_PROFILE_SQL}), b as (select unnest(range({SHUFFLES})) as b),
+    x as (select *, row_number() over (partition by b, yr order by {sql_hash(108, 'b', 'o_orderkey')}, b, o_orderkey) as k from r, b),
+    y as (select b, yr, label as shuffled, row_number() over (partition by b, yr order by {sql_hash(109, 'b', 'o_orderkey')}, b, o_orderkey) as k from r, b),
+    a as (select -1 as b, yr, label as shuffled, price, day from r
+          union all select x.b, yr, y.shuffled, price, day from x join y using (b, yr, k)),
+    l as (select b, yr, shuffled, 'price' as candidate, price as v from a union all select b, yr, shuffled, 'day', day from a),
+    u as ({sql_auc('l', 'b, candidate, yr', 'v', 'shuffled')}),
+    w as (select b, yr, max(auc) filter (candidate = 'price') as x, max(auc) filter (candidate = 'day') as y from u group by all),
+    k as (select b, rank() over (partition by b order by x) + (count(*) over (partition by b, x) - 1) / 2.0 as rx,
+                 rank() over (partition by b order by y) + (count(*) over (partition by b, y) - 1) / 2.0 as ry from w),
+    c as (select b, round(corr(rx, ry), 9) as rho from k group by b),
+    o as (select rho as observed from c where b = -1)
+    select round(any_value(observed), 6) as observed, round(avg(rho), 6) as null_mean, round(stddev_pop(rho), 6) as null_sd,
+           round(min(rho), 6) as null_min, round(max(rho), 6) as null_max,
+           round((1 + count(*) filter (rho >= observed)) / (count(*) + 1.0), 6) as p_value
+    from c, o where b >= 0"""
+
+
+@query("shuffled_null", SHUFFLED_NULL_SQL)
 def shuffled_null(t: Tables):
-    """Rank correlation of the yearly AUC profiles of two scores, with shuffled labels."""
+    """Rank correlation of the yearly AUC profiles of two scores beside its distribution under shuffled labels."""
     rows = t.orders.select(
         "o_orderkey", F.year("o_orderdate").alias("yr"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("label"),
         F.col("o_totalprice").alias("price"), F.dayofyear("o_orderdate").cast("double").alias("day"),
     )
-    spread = resample.replicates(rows, 5, ["o_orderkey"])
+    spread = resample.replicates(rows, SHUFFLES, ["o_orderkey"])
     shuffled = splits.shuffle_values(spread, ["b", "yr"], ["b", "o_orderkey"], "label", 108, "shuffled")
-    long = shuffled.unpivot(["b", "yr", "shuffled"], ["price", "day"], "candidate", "v")
+    real = rows.select(F.lit(-1).alias("b"), "yr", F.col("label").alias("shuffled"), "price", "day")
+    both = real.unionByName(shuffled.select("b", "yr", "shuffled", "price", "day"))
+    long = both.unpivot(["b", "yr", "shuffled"], ["price", "day"], "candidate", "v")
     aucs = metrics.auc(long, ["b", "candidate", "yr"], "v", "shuffled")
     wide = aucs.groupBy("b", "yr").agg(
         F.max(F.when(F.col("candidate") == "price", F.col("auc"))).alias("x"),
         F.max(F.when(F.col("candidate") == "day", F.col("auc"))).alias("y"),
     )
-    return metrics.spearman(wide, ["b"], "x", "y")
-
-
+    rho = metrics.spearman(wide, ["b"], "x", "y").select("b", F.round("spearman", 9).alias("rho"))
+    rho = materialize(rho, "rho")
+    observed = rho.where("b = -1").select("rho").scalar()
+    null = rho.where("b >= 0").withColumn("observed", observed).agg(
+        F.max("observed").alias("observed"), F.avg("rho").alias("null_mean"), F.stddev_pop("rho").alias("null_sd"),
+        F.min("rho").alias("null_min"), F.max("rho").alias("null_max"),
+        ((1 + F.count(F.when(F.col("rho") >= F.col("observed"), 1))) / (F.count(F.lit(1)) + 1)).alias("p_value"),
+    )
+    return _r(null, *null.columns)
