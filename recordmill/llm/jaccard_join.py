@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordmill.llm.common import map_batches, materialize, maybe_in
+from recordmill.llm.common import bit_filter, map_batches, materialize, maybe_in
 from recordmill.llm.components import components
 from recordmill.llm.regions import links_in_regions
 from recordmill.llm.shingles import mix, shingle_set, words
@@ -73,7 +73,7 @@ def longer_run(num: int, den: int) -> tuple[int, int]:
     return k, max(fails, default=0) + 1
 
 
-def _cells(batch: pa.RecordBatch, size: int, short: bool, num: int, den: int, run: int) -> pa.RecordBatch | None:
+def _cells(batch: pa.RecordBatch, size: int, short: bool, num: int, den: int, run: int, keep) -> pa.RecordBatch | None:
     keys, item, count = [], [], []
     seen: set[int] = set()
     for text in batch.column(0).to_pylist():
@@ -92,13 +92,14 @@ def _cells(batch: pa.RecordBatch, size: int, short: bool, num: int, den: int, ru
         key = head[: len(head) - run + 1]
         for k in range(1, run):
             key = mix(key) ^ head[k : len(head) - run + 1 + k]
-        keys.append(mix(key + np.uint64(run)))
+        key = mix(key + np.uint64(run)).view(np.int64)
+        keys.append(key if keep is None else key[keep(key)])
         item.append(cls), count.append(n)
     if not keys:
         return None
     lens = [len(k) for k in keys]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(_signed(item), lens)), pa.array(np.repeat(np.array(count, np.int64), lens))],
+        [pa.array(np.concatenate(keys)), pa.array(np.repeat(_signed(item), lens)), pa.array(np.repeat(np.array(count, np.int64), lens))],
         ["region", "item", "n"],
     )
 
@@ -147,10 +148,13 @@ def jaccard_groups(
         return materialize(found.groupBy("cls").agg(F.min("text").alias("text")), "texts")
 
     def cells(source: DataFrame, run: int) -> DataFrame:
-        """Members of the cells that hold more than one set."""
-        each = map_batches(source.select("text"), _cells, _CELL, *rule, run)
+        """Members of the cells that hold more than one set; a second pass over the texts finds them again."""
+        text = source.select("text")
+        each = map_batches(text, _cells, _CELL, *rule, run, None)
         shared = each.groupBy("region").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo <> hi")
-        return materialize(each.join(shared.select("region"), "region").distinct(), "members")
+        shared = materialize(shared.select("region"), "shared")
+        again = map_batches(text, _cells, _CELL, *rule, run, bit_filter(shared))
+        return materialize(again.join(shared, "region").distinct(), "members")
 
     members = cells(texts, 2)
     large = materialize(members.groupBy("region").count().where(F.col("count") > LARGE_CELL).select("region"), "large")
