@@ -109,7 +109,7 @@ def top_k(df: DataFrame, part: Sequence[str], k: int, order: Sequence[Column], o
     beyond that the rows are numbered by ``row_numbers``.
     """
     if k > GROUP_LIMIT:
-        return row_numbers(df, part, order, out).where(F.col(out) <= k)
+        return row_numbers(df, part, order, out).where(F.col(out) <= k).withColumn(out, F.col(out).cast("int"))
     w = W.partitionBy(*(part or [F.lit(0)])).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 

@@ -114,11 +114,12 @@ def topk_mean_similarity(t: Tables):
     """
     select c_custkey, round(len(list_filter(range(1, 19), lambda i: substr(c_name, i, 1) = substr(s_name, i, 1) and substr(c_name, i, 1) <> '0')) /
            nullif(len(list_filter(range(1, 19), lambda i: substr(c_name, i, 1) <> '0' and substr(s_name, i, 1) <> '0')), 0), 6) as identity
-    from customer join supplier on s_nationkey = c_nationkey and s_suppkey = c_custkey % 10
+    from customer join supplier on s_nationkey = c_nationkey and s_suppkey = c_custkey % (select count(*) from supplier)
     """,
 )
 def positional_identity(t: Tables):
-    pairs = t.customer.withColumn("s_suppkey", F.pmod("c_custkey", F.lit(10))).join(t.supplier, "s_suppkey").where("s_nationkey = c_nationkey")
+    suppliers = t.supplier.agg(F.count(F.lit(1))).scalar()
+    pairs = t.customer.withColumn("s_suppkey", F.pmod(F.col("c_custkey"), suppliers)).join(t.supplier, "s_suppkey").where("s_nationkey = c_nationkey")
     share = text.positional_identity(F.col("c_name"), F.col("s_name"), gap="0")
     return pairs.select("c_custkey", F.round(share, 6).alias("identity"))
 

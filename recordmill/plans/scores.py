@@ -371,8 +371,8 @@ def fisher_2x2(t: Tables):
 
 @query(
     "js_divergence",
-    """
-    with w as (select lang, unnest(regexp_extract_all(lower(text), '[a-z]')) as ch from documents),
+    r"""
+    with w as (select lang, unnest(regexp_extract_all(lower(text), '\p{L}')) as ch from documents),
     n as (select lang, ch, count(*) as c from w group by all),
     g as (select l.lang as part, n.ch, coalesce(sum(c) filter (n.lang = l.lang), 0) as a, coalesce(sum(c) filter (n.lang <> l.lang), 0) as b
           from n, (select distinct lang from documents) l group by all),
@@ -385,8 +385,8 @@ def fisher_2x2(t: Tables):
 )
 def js_divergence(t: Tables):
     # Letters are counted inside each text first; one row per (language, letter) leaves the scan.
-    letters = F.array(*[F.lit(chr(c)) for c in range(97, 123)])
     low = F.col("low")
+    letters = F.filter(F.array_distinct(F.split(F.regexp_replace(low, r"[^\p{L}]", ""), "")), lambda ch: ch != "")
     per_text = F.explode(
         F.transform(
             letters,
@@ -396,8 +396,8 @@ def js_divergence(t: Tables):
     counts = t.texts.select("lang", F.lower("text").alias("low")).select("lang", per_text.alias("x")).groupBy("lang", "x.ch").agg(F.sum("x.n").alias("n"))
     # One side per language: its own letters against those of all other languages.
     total = counts.groupBy("ch").agg(F.sum("n").alias("all_n"))
-    langs = counts.select("lang").distinct()
-    grid = langs.select("lang", F.explode(letters).alias("ch")).join(total, "ch").join(counts, ["lang", "ch"], "left")
+    langs = counts.agg(F.collect_set("lang")).scalar()
+    grid = total.withColumn("lang", F.explode(langs)).join(counts, ["lang", "ch"], "left")
     grid = grid.select("lang", "ch", F.coalesce("n", F.lit(0)).alias("a"), "all_n").withColumn("b", F.col("all_n") - F.col("a"))
     out = metrics.js_from_counts(grid, ["lang"], "a", "b", min_count=100)
     return _r(out, "js_distance")

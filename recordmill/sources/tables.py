@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -52,13 +52,10 @@ def append_pending(todo: DataFrame, path: str, keys: Sequence[str], batches: int
     for b in range(batches):
         chunk = todo.where(F.pmod(F.xxhash64(*keys), F.lit(batches)) == b)
         if fs.exists(fs_path):
-            done = spark.read.schema(todo.schema).parquet(path)
-            before = done.count()
-            chunk = pending(chunk, done, keys)
-        else:
-            before = 0
-        chunk.write.mode("append").parquet(path)
-        appended += spark.read.schema(todo.schema).parquet(path).count() - before
+            chunk = pending(chunk, spark.read.schema(todo.schema).parquet(path), keys)
+        written = Observation()
+        chunk.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+        appended += written.get["n"]
     return appended
 
 
