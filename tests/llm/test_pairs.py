@@ -88,6 +88,7 @@ def test_edit_distance():
             for j, y in enumerate(b):
                 row.append(min(last[j + 1] + 1, row[j] + 1, last[j] + (x != y)))
         assert line_dedup.word_edit_distance(a, b) == row[-1]
+        assert (line_dedup.word_edit_distance(a, b, 2) <= 2) == (row[-1] <= 2)
 
 
 def line_truth(docs, min_words=5, similarity=0.8):
