@@ -15,6 +15,7 @@ numpy shifts. The layout, little-endian::
 from __future__ import annotations
 
 import functools
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -93,31 +94,81 @@ class Reader:
         self.file.close()
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+#: Marks that end a word and are pre-tokens of their own.
+_MARKS = b".,;:!?*#$%&"
+
 
-    return Tokenizer.from_file(path), {}
+@functools.lru_cache(maxsize=1)
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-def _encoded(batch: pa.RecordBatch, path: str, dtype, end: int) -> list[bytes]:
-    """Ids of the texts of a batch; a word between ASCII white space is encoded once.
+class WordIds:
+    """Ids of words between ASCII white space, remembered; equal to the library's for the whole text.
 
-    The tokenizer's pre-tokens never hold white space, so such words can be encoded apart.
+    Pre-tokens of these tokenizers never hold white space, so words are encoded apart. A word of
+    letters only is one pre-token and goes to the model directly; anything else to the library.
     """
-    tokenizer, known = _tokenizer(path)
-    split = [t.encode("utf-8").split() if t else [] for t in batch.column(1).to_pylist()]
-    new = {w for words in split for w in words if w not in known}
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = {w for words in split for w in words}
-    fresh = list(new)
-    for at in range(0, len(fresh), 8192):
-        part = fresh[at : at + 8192]
-        for w, e in zip(part, tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype).tobytes()
-    tail = np.array([end], dtype).tobytes()
-    return [b"".join([*map(known.__getitem__, words), tail]) for words in split]
+
+    def __init__(self, path: str, dtype):
+        from tokenizers import Tokenizer
+
+        self.whole, self.dtype = Tokenizer.from_file(path), dtype
+        self.model = self.whole.model
+        self.known: dict[bytes, bytes] = {}
+
+    def _library(self, word: bytes) -> bytes:
+        return np.array(self.whole.encode(word.decode("utf-8"), add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _letters(self, word: bytes) -> bytes:
+        text = word.decode("utf-8")
+        low = text.lower()
+        # a final sigma depends on its neighbours for Python, not for the library
+        if not (text.isalpha() and low.isalpha() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text)):
+            return self._library(word)
+        names = _byte_letters()
+        return np.array([t.id for t in self.model.tokenize("".join([names[b] for b in low.encode("utf-8")]))], self.dtype).tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known.clear()
+        for word in words:
+            if word in self.known:
+                continue
+            core = word.rstrip(_MARKS)
+            tail = word[len(core) :]
+            ids = self.known.get(core)
+            if ids is None:
+                ids = self.known[core] = self._letters(core) if core else b""
+            if tail:
+                if not core or core.decode("utf-8").isalpha():
+                    if tail not in self.known:
+                        self.known[tail] = self._library(tail)
+                    ids = ids + self.known[tail]
+                else:
+                    ids = self._library(word)
+                self.known[word] = ids
+
+    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
+        split = []
+        for text in texts:
+            raw = (text or "").encode("utf-8")
+            # the names of special tokens are told apart by case
+            split.append((raw if b"<|" in raw else raw.lower()).split())
+        every = {w for words in split for w in words}
+        self.learn({w for w in every if w not in self.known})
+        if not every <= self.known.keys():
+            self.learn(every)
+        tail = np.array([end], self.dtype).tobytes()
+        return [b"".join([*map(self.known.__getitem__, words), tail]) for words in split]
+
+
+@functools.lru_cache(maxsize=2)
+def _word_ids(path: str, dtype) -> WordIds:
+    return WordIds(path, dtype)
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, bits: int, end: int) -> Iterator[pa.RecordBatch]:
@@ -138,7 +189,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, bits: int,
 
         out.write(MAGIC)
         for batch in batches:
-            texts = _encoded(batch, path, dtype, end)
+            texts = _word_ids(path, dtype).encode(batch.column(1).to_pylist(), end)
             for i in batch.column(0).to_pylist():
                 doc_ids.append(i or 0), valid.append(i is not None)
             counts += [len(t) // dtype().itemsize for t in texts]
