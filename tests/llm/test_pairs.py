@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import pytest
+
 from recordmill.llm import decontaminate, jaccard_join, line_dedup
 from recordmill.llm.components import components
 from recordmill.llm.regions import links_in_regions
@@ -114,7 +116,9 @@ def line_truth(docs, min_words=5, similarity=0.8):
     return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in drop) for i, t in docs}, len(links)
 
 
-def test_lines_against_all_pairs(llm):
+@pytest.mark.parametrize("small", [2, 16])
+def test_lines_against_all_pairs(llm, monkeypatch, small):
+    monkeypatch.setattr(line_dedup, "SMALL_POSTING", small)
     rng = random.Random(11)
     bases = [[rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(rng.randint(4, 60))] for _ in range(25)]
     docs = []
