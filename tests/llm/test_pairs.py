@@ -137,6 +137,38 @@ def test_lines_against_all_pairs(llm, monkeypatch, small):
     assert all(r.lines_removed == docs[r.doc_id][1].count("\n") + 1 - (r.text.count("\n") + 1 if r.text else 0) for r in got)
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_lines_at_the_bound_of_edit_similarity(llm, similarity):
+    """Lines with as many edits as allowed, or one more, against all pairs by edit similarity alone."""
+    rng = random.Random(23)
+    lines = []
+    for n in [*range(3, 14), 20, 33, 60]:
+        for _ in range(3):
+            base = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(9))}" for _ in range(n)]
+            lines.append(base)
+            for extra in (0, 0, 1):
+                words = list(base)
+                for k in rng.sample(range(n), min(n, int((1 - similarity) * n + 1e-9) + extra)):
+                    words[k] = rng.choice(["new", "the", words[k] + " new", "", words[k - 1]])
+                lines.append(" ".join(w for w in words if w).split())
+    docs = [(i, " ".join(w)) for i, w in enumerate(lines)]
+    norms = {i: t.split(" ") for i, t in docs if t.count(" ") >= 2}
+    links = [
+        (a, b) for a, b in combinations(norms, 2)
+        if line_dedup.word_edit_distance(norms[a], norms[b]) <= (1 - similarity) * max(len(norms[a]), len(norms[b])) + 1e-9
+    ]
+    groups = groups_of(links, norms)
+    got = line_dedup.dedup_lines(llm.createDataFrame(docs, "doc_id long, text string").repartition(3), min_words=3, similarity=similarity)
+    assert {r.doc_id for r in got.collect() if r.lines_removed} == {i for i, g in groups.items() if g != i}
+
+
+def test_ascii_lines_are_normalised_alike():
+    rng = random.Random(3)
+    for _ in range(200):
+        line = "".join(chr(rng.randrange(128)) for _ in range(30))
+        assert line_dedup.normalize(line) == line_dedup.normalize(line + " \u00a0")
+
+
 def test_lines_odd_rows(odd_docs, no_docs):
     out = line_dedup.dedup_lines(odd_docs)
     assert out.columns == [*odd_docs.columns, "lines_removed"]
