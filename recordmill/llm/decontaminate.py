@@ -12,6 +12,7 @@ counting the shared shingles.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -78,7 +79,7 @@ class ItemIndex:
         return out
 
 
-_built: dict[int, ItemIndex] = {}
+_built: dict[str, ItemIndex] = {}
 
 
 def _search(batch: pa.RecordBatch, shared, args: tuple) -> pa.RecordBatch | None:
@@ -93,10 +94,10 @@ def _search(batch: pa.RecordBatch, shared, args: tuple) -> pa.RecordBatch | None
 
 
 class _Shared:
-    """A broadcast value with a name of its own for the worker's cache."""
+    """A broadcast value with a name for the worker's cache that no other one ever has."""
 
-    def __init__(self, value, key: int):
-        self.held, self.id = value, key
+    def __init__(self, value):
+        self.held, self.id = value, uuid.uuid4().hex
 
     @property
     def value(self):
@@ -125,7 +126,7 @@ def contained_items(
     for k in range(blocks):
         part = rows.where(F.col("block") == k) if blocks > 1 else rows
         shared = spark.sparkContext.broadcast(pickle.dumps([(r["item"], r["text"]) for r in part.collect()]))
-        found = map_batches(texts, _search, _PAIR, _Shared(shared, id(shared)), (size, num, den))
+        found = map_batches(texts, _search, _PAIR, _Shared(shared), (size, num, den))
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], _PAIR)

@@ -214,6 +214,15 @@ def test_containment(llm, odd_docs, no_docs, monkeypatch):
     assert decontaminate.contained_items(odd_docs, odd_docs.withColumnRenamed("doc_id", "item_id")).count() > 12
 
 
+def test_containment_keeps_no_index_of_another_benchmark(llm, monkeypatch):
+    """Two benchmarks one after the other, as if the second broadcast had the address of the first."""
+    monkeypatch.setattr(decontaminate, "id", lambda _: 1, raising=False)
+    docs = llm.createDataFrame([(1, "a b c d e f"), (2, "p q r s t u")], "doc_id long, text string").coalesce(1)
+    for item, text, doc in ((7, "a b c d e f", 1), (8, "p q r s t u", 2)):
+        items = llm.createDataFrame([(item, text)], "item_id long, text string")
+        assert [(r.doc_id, r.item_id) for r in decontaminate.contained_items(docs, items).collect()] == [(doc, item)]
+
+
 def test_regions_test_every_pair(llm):
     """Points on a line: links within the radius connect the same points as in every region alone."""
     rng = random.Random(3)
