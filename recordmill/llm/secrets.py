@@ -29,9 +29,9 @@ KINDS = ("assign", "access", "hex")
 
 # parts of credentials: weak alone
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-ACCOUNT = re.compile(r"(?<![A-Za-z0-9_])(?:user(?:name)?|account|client_?id|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,64})", re.IGNORECASE | re.ASCII)
-ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:[a-z][a-z0-9+]{1,9}://[^\s\"'<>]{4,200}|(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,200})", re.ASCII)
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])")
+ACCOUNT = re.compile(r"(?<![A-Za-z0-9_])(?:user(?:name)?|account|client_?id|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})", re.IGNORECASE | re.ASCII)
+ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:[a-z][a-z0-9+]{1,9}://[^\s\"'<>]{4,}|(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,})", re.ASCII)
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 WEAK = ("account", "endpoint", "opaque")
 _PART = {"assign": "secret", "access": "id", "hex": "secret", "account": "id", "endpoint": "endpoint", "opaque": "secret"}
 

@@ -70,6 +70,13 @@ def test_weak_parts_need_the_others(llm, odd_docs, no_docs):
     assert secrets.find_secrets(odd_docs).count() == 16 and secrets.find_secrets(no_docs).collect() == []
 
 
+def test_weak_parts_of_any_length():
+    key, name, host = "aB3/" * 22, "n" * 90, "https://h.example/" + "p" * 400
+    text = f"user={name} {host} {key}"
+    got = {(k, text[a:b]) for k, a, b in secrets.weak_spans(text)}
+    assert {("account", f"user={name}"), ("endpoint", host), ("opaque", key)} <= got
+
+
 def test_personal_base_spans():
     rng = random.Random(6)
     bits = ["a.b", "@", "ex-1", ".", "com", "1", "12", "255", "256", "999", "+", "(", ")", " ", "-", "4111111111111111", "4225039295678253", "9" * 17, "x", "é", "_%"]
