@@ -450,12 +450,18 @@ def bootstrap_refit(t: Tables):
     return metrics.auc(scored, ["b"], "s", "y")
 
 
+def training_sets(e):
+    """All sets of one to three of the table's domains."""
+    domains = sorted(r.domain for r in e.select("domain").where("domain is not null").distinct().collect())
+    return splits.domain_combinations(domains, [1, 2, 3])
+
+
 @query("transfer_matrix")
 def transfer_matrix(t: Tables):
-    """AUC on every domain of probes trained on each domain and on all others."""
+    """AUC on every domain of probes trained on every single domain, pair and triple of domains."""
     e = materialize(emb(t), "embeddings")
     scored = None
-    for combo in [(0,), (1,), (0, 1), (0, 1, 2)]:
+    for combo in training_sets(e):
         probe = probes.fit_probe(e.where(F.col("domain").isin(*combo)), "x", "y", ["vec_id"], grid=[0.1])
         part = e.select(F.lit("+".join(map(str, combo))).alias("train_set"), "domain", "y", probe.score("x").alias("s"))
         scored = part if scored is None else scored.unionAll(part)

@@ -201,3 +201,10 @@ def test_records_with_leading_marks(spark):
     path = new_path(spark, "records")
     delimited.write_records(df, path, "id", F.lit("t"), F.col("text"))
     assert {(r.id, r.body) for r in delimited.read_records(spark, path).collect()} == {("1", "ab>cdef"), ("2", "")}
+
+
+def test_training_sets_of_all_domains(spark):
+    from recordmill.plans.embedding import training_sets
+
+    sets = [tuple(c) for c in training_sets(spark.createDataFrame([(d,) for d in (3, 0, 4, 1, 2, 2)], "domain long"))]
+    assert len(sets) == len(set(sets)) == 25 and {(3,), (4,), (3, 4), (2, 3, 4)} <= set(sets)
