@@ -206,3 +206,116 @@ def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
     from recordmill.llm.topk_search import top_k
 
     return top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
+COLLOCATION_SQL = r"""
+with pieces as (
+  select row_number() over () as piece, lang, p from (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents)
+), split as (select piece, lang, regexp_extract_all(p, '[^\x20\x09]+') as w from pieces),
+starts as (select lang, w, unnest(range(1, len(w) + 1)) as i from split),
+grams as (
+  select lang, w[i] as g, null as x, null as y from starts
+  union all select lang, w[i] || ' ' || w[i + 1], null, null from starts where i < len(w)
+  union all select lang, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], w[i] || ' ' || w[i + 1], w[i + 1] || ' ' || w[i + 2] from starts where i + 1 < len(w)
+), f as (select lang, g, count(*)::hugeint as a, any_value(x) as x, any_value(y) as y from grams group by lang, g having count(*) >= 10),
+total as (select lang, sum(len(w))::bigint as n from split group by lang),
+parts as (
+  select lang, g, a, 1 as k, split_part(g, ' ', 1) as p, coalesce(y, split_part(g, ' ', 2)) as q from f where contains(g, ' ')
+  union all select lang, g, a, 2, x, split_part(g, ' ', 3) from f where x is not null
+), cuts as (
+  select c.lang, c.g, c.a, k, l.a as l, r.a as r, (1000000 * c.a * c.a) // (l.a * r.a) as score
+  from parts c join f l on l.lang = c.lang and l.g = c.p join f r on r.lang = c.lang and r.g = c.q
+), scored as (select * from cuts qualify row_number() over (partition by lang, g order by score, k) = 1),
+inside as (
+  select lang, g, max(a) as longer from (select lang, x as g, a from f where x is not null union all select lang, y, a from f where x is not null) group by all
+), named as (
+  select s.lang, s.g as phrase, s.a, l, r, score from scored s left join inside i on s.lang = i.lang and s.g = i.g
+  where i.longer is null or 100 * i.longer < 50 * s.a
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase,
+  a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+from named join total using (lang) qualify rank <= 2000
+"""
+
+
+@query("op11_collocations", COLLOCATION_SQL)
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from recordmill.llm.collocations import collocations
+
+    return collocations(table(spark, folder, "documents"))
+
+
+MANIFEST_SQL = r"""
+with recursive fields as (
+  select doc_id, source, text,
+    concat(coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+      coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars, '-')) as head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lowered,
+    xor(list_reduce([4294967295] || flatten(list_transform(range(1, length(doc_id::varchar) + 1), lambda i: [ascii(substr(doc_id::varchar, i, 1)), 0, 0, 0, 0, 0, 0, 0])),
+      lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) as crc
+  from documents
+), leaves as (
+  select doc_id, source, sha256(concat(head, coalesce(octet_length(encode(text)) || ':' || text, '-'))) as leaf,
+    case when crc % 5 = 0 then sha256(concat(head, coalesce(octet_length(encode(lowered)) || ':' || lowered, '-'))) end as changed
+  from fields
+), placed as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos from leaves),
+nodes(source, lvl, pos, h, cnt) as (
+  select source, 0, pos, leaf, count(*) over (partition by source) from placed
+  union all
+  select source, lvl, pos, h, count(*) over (partition by source) from (
+    select source, lvl + 1 as lvl, pos // 16 as pos, sha256(string_agg(h, '' order by pos)) as h from nodes where cnt > 1 group by source, lvl + 1, pos // 16)
+), subroots as (select source, lvl as height, h as subroot, row_number() over (order by source nulls first) - 1 as place from nodes where cnt = 1),
+upper(lvl, pos, h, cnt) as (
+  select 0, place, subroot, count(*) over () from subroots
+  union all
+  select lvl, pos, h, count(*) over () from (
+    select lvl + 1 as lvl, pos // 16 as pos, sha256(string_agg(h, '' order by pos)) as h from upper where cnt > 1 group by lvl + 1, pos // 16)
+), top as (select h as root, lvl as height from upper where cnt = 1),
+tree as (
+  select source is null as no_source, coalesce(source, '') as s, lvl, pos, h from nodes where cnt > 1
+  union all
+  select n.source is null, coalesce(n.source, ''), n.height + u.lvl, u.pos, u.h from subroots n, upper u where u.cnt > 1
+), runs as (
+  select no_source, s, lvl, pos // 16 as run, list(h order by pos) as hs from tree group by all
+), fold(doc_id, source, leaf, lvl, pos, h, proof) as (
+  select p.doc_id, p.source, leaf, 0, case when n.height = 0 then n.place else p.pos end, coalesce(changed, leaf), ''
+  from placed p join subroots n on n.source is not distinct from p.source
+  union all
+  select f.doc_id, f.source, f.leaf, f.lvl + 1, case when f.lvl + 1 = n.height then n.place else f.pos // 16 end,
+    sha256(concat(array_to_string(hs[:f.pos % 16], ''), f.h, array_to_string(hs[f.pos % 16 + 2:], ''))),
+    concat(f.proof, array_to_string(hs[:f.pos % 16], ''), array_to_string(hs[f.pos % 16 + 2:], ''))
+  from fold f join subroots n on n.source is not distinct from f.source
+  join runs r on r.no_source = (f.source is null) and r.s = coalesce(f.source, '') and r.lvl = f.lvl and r.run = f.pos // 16
+), ended as (select * from fold qualify row_number() over (partition by doc_id, leaf order by lvl desc) = 1)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, e.h as folded_root, e.h = root as verified
+from ended e join subroots n on n.source is not distinct from e.source, top
+"""
+
+
+@query("op12_merkle", MANIFEST_SQL)
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    from recordmill.llm.merkle import manifest
+
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    rows = manifest(
+        table(spark, folder, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "source", tampered, {"text": lowered}
+    )
+    return rows.drop("copied")
+
+
+EXACT_SQL = r"""
+with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
+select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+  doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
+from d
+"""
+
+
+@query("op13_exact_dedup", EXACT_SQL)
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from recordmill.llm.exact_dedup import exact_groups
+
+    return exact_groups(table(spark, folder, "documents"))
