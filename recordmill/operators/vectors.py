@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -14,11 +13,8 @@ from pyspark.sql import functions as F
 
 from recordmill.functions import vectors as V
 from recordmill.functions.hashing import hash_key
+from recordmill.operators.nearest import nearest_references
 from recordmill.operators.ordering import row_numbers
-from recordmill.operators.ranks import top_k
-
-REFERENCE_ROWS = 4096
-SLICE_ROWS = 20_000
 
 
 def moments(df: DataFrame, by: Sequence[str], vector: str) -> DataFrame:
@@ -118,86 +114,13 @@ def random_pair_cosine(df: DataFrame, key: Sequence[str], vector: str, draws: in
 # Similarity to a reference set
 
 
-def _unit_rows(x: pd.Series) -> np.ndarray:
-    m = np.stack(x.to_numpy()).astype(float)
-    length = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, length, out=np.full_like(m, np.nan), where=length > 0)
-
-
-def _best(sims: np.ndarray, k: int) -> np.ndarray:
-    """The k largest values of each row, descending; missing places are -inf."""
-    if sims.shape[1] > k:
-        sims = -np.partition(-sims, k - 1, axis=1)[:, :k]
-    return -np.sort(-sims, axis=1)
-
-
-def _compare(q: pd.DataFrame, ref_ids, ref_units, key, vector, k, exclude_self) -> pd.DataFrame:
-    sims = _unit_rows(q[vector]) @ ref_units.T
-    sims[np.isnan(sims)] = -np.inf
-    if exclude_self:
-        sims[q[key].to_numpy()[:, None] == ref_ids[None, :]] = -np.inf
-    best = [row[np.isfinite(row)].tolist() for row in _best(sims, k)]
-    return pd.DataFrame({key: q[key].to_numpy(), "sims": best})
-
-
 def reference_similarity(
-    queries: DataFrame, reference: DataFrame, key: str, vector: str, k: int = 1,
-    exclude_self: bool = False, block_rows: int = REFERENCE_ROWS, slice_rows: int = SLICE_ROWS,
+    queries: DataFrame, reference: DataFrame, key: str, vector: str, k: int = 1, exclude_self: bool = False, **sizes: int
 ) -> DataFrame:
-    """``(key, max_sim, topk_mean)``: cosine to the nearest and to the k nearest references.
-
-    A reference of at most ``block_rows`` rows goes to every task and the queries do not move.
-    A larger one is cut into blocks, the queries into slices, and each (block, slice) is one
-    bounded task; the k best per block are then merged. Both ways are exact.
-    """
-    refs = reference.select(key, vector)
-    q = queries.select(key, vector)
-    id_type = dict(q.dtypes)[key]
-    n_ref = refs.count()
-    if n_ref <= block_rows:
-        local = refs.toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast(
-            (local[key].to_numpy(), _unit_rows(local[vector]) if n_ref else np.zeros((0, 1)))
-        )
-
-        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, units = shared.value
-            for pdf in batches:
-                if len(pdf) and len(ids):
-                    yield _compare(pdf, ids, units, key, vector, k, exclude_self)
-                else:
-                    yield pd.DataFrame({key: pdf[key], "sims": [[] for _ in range(len(pdf))]})
-
-        best = q.mapInPandas(near, f"{key} {id_type}, sims array<double>")
-        sims = F.col("sims")
-        best = best.select(
-            key, F.try_element_at(sims, F.lit(1)).alias("max_sim"),
-            (V.total(sims) / F.nullif(F.size(sims), F.lit(0))).alias("topk_mean"),
-        )
-    else:
-        n_blocks, n_slices = ceil(2 * n_ref / block_rows), max(1, ceil(q.count() / slice_rows))
-        left = q.select(
-            "*", F.pmod(F.xxhash64(key), F.lit(n_slices)).alias("__slice"),
-            F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("__block"),
-        )
-        right = refs.select(
-            "*", F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("__block"),
-            F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("__slice"),
-        )
-
-        def block(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
-            if not len(lhs) or not len(rhs):
-                return pd.DataFrame({key: lhs[key], "sims": [[] for _ in range(len(lhs))]})
-            return _compare(lhs, rhs[key].to_numpy(), _unit_rows(rhs[vector]), key, vector, k, exclude_self)
-
-        parts = (
-            left.groupBy("__block", "__slice")
-            .cogroup(right.groupBy("__block", "__slice"))
-            .applyInPandas(block, f"{key} {id_type}, sims array<double>")
-        )
-        rows = parts.select(key, F.explode("sims").alias("sim"))
-        kept = top_k(rows, [key], k, [F.desc("sim")], "__r").groupBy(key).agg(
-            F.max("sim").alias("max_sim"), F.avg("sim").alias("topk_mean")
-        )
-        best = q.select(key).join(kept, key, "left")
-    return best
+    """``(key, max_sim, topk_mean)``: cosine to the nearest and to the k nearest references, one row per query row."""
+    best = nearest_references(queries, reference, key, vector, k, exclude_self, **sizes)
+    sims = F.col("sims")
+    return best.select(
+        key, F.try_element_at(sims, F.lit(1)).alias("max_sim"),
+        (V.total(sims) / F.nullif(F.size(sims), F.lit(0))).alias("topk_mean"),
+    )

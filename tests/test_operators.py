@@ -137,7 +137,7 @@ def test_reference_similarity(spark, block_rows, noself):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(120, 6))
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(120), "v": list(x)}), "id long, v array<double>")
-    got = vectors.reference_similarity(df, df.where("id < 50"), "id", "v", 3, noself, block_rows, slice_rows=40).toPandas().sort_values("id")
+    got = vectors.reference_similarity(df, df.where("id < 50"), "id", "v", 3, noself, shared_rows=block_rows, block_rows=16, slice_rows=40).toPandas().sort_values("id")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     sims = u @ u[:50].T
     if noself:
