@@ -7,7 +7,7 @@ sorted by multikey three-way quicksort: a part is split around a pivot word into
 of a route at once. The size of an equal part is the count of its phrase, and it goes on with the next word; parts
 smaller than the least count are abandoned.
 
-A leading word that is itself too frequent for a route is routed twice: pairs of words by both, and suffixes
+Suffixes of a leading word that is itself too frequent for a route are sent once for every length of phrase, cut to it and routed
 by all their words, so no word, pair or passage gathers in one task.
 """
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordmill.llm.common import bit_filter, materialize
@@ -29,7 +29,7 @@ from recordmill.llm.shingles import WordHashes, mix
 ROUTE, CHUNK = 1 << 20, 1 << 20
 #: Words that a task counts before it sends them on.
 VOCABULARY = 400_000
-#: A word goes by two routes from this share of a route on; at most ``MOST_HOT`` words are as frequent.
+#: A word goes by several routes from this share of a route on; at most ``MOST_HOT`` words are as frequent.
 HOT, MOST_HOT = ROUTE // 4, 1 << 16
 
 # fixed values: upper case, the ends of pieces and the white space inside them
@@ -90,26 +90,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _routes(batches: Iterator[pa.RecordBatch], keep, hot, routes: int, longest: int) -> Iterator[pa.RecordBatch]:
     """Suffixes by route: packed ids of their words and the number of times they were seen."""
     held: list[np.ndarray] = []
-    size = 0
+    seen = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         w = np.concatenate(held, axis=1)
         key = w[0].copy()
+        keys = []
         for row in w[1:]:
             key = mix(key * _A + row)
+            keys.append(key)
         _, first, n = np.unique(key, return_index=True, return_counts=True)
-        w, key, n = w[:, first], key[first], n.astype(np.uint64)
+        w, n = w[:, first], n.astype(np.uint64)
         often = hot.value[np.minimum(np.searchsorted(hot.value, w[0]), len(hot.value) - 1)] == w[0] if len(hot.value) else np.zeros(len(n), bool)
-        pairs = w[:, often].copy()
-        pairs[2:] = 0
         p = np.uint64(routes)
         parts = [(mix(w[0, ~often]) % p, w[:, ~often], n[~often])]
-        if often.any():
-            both = mix(pairs[0] * _A + pairs[1])
-            _, first, inverse = np.unique(both, return_index=True, return_inverse=True)
-            parts.append((both[first] % p, pairs[:, first], np.bincount(inverse, n[often].astype(float)).astype(np.uint64)))
-            deep = often & (w[2] > 0) if longest > 2 else np.zeros(len(n), bool)
-            parts.append((mix(key[deep]) % p + p, w[:, deep], n[deep]))
+        for size in range(2, longest + 1 if often.any() else 0):
+            long = np.flatnonzero(often & (w[size - 1] > 0))
+            _, at, inverse = np.unique(keys[size - 2][first[long]], return_index=True, return_inverse=True)
+            cols = w[:, long[at]].copy()
+            cols[size:] = 0
+            times = np.bincount(inverse, n[long].astype(float), len(at)).astype(np.uint64)
+            parts.append((mix(keys[size - 2][first[long[at]]]) % p + p * np.uint64(size - 1), cols, times))
         for route, cols, times in parts:
             order = np.argsort(route, kind="stable")
             route, cols, times = route[order], cols[:, order], times[order]
@@ -135,11 +136,11 @@ def _routes(batches: Iterator[pa.RecordBatch], keep, hot, routes: int, longest:
             for k in range(3, longest):
                 rows[k][rows[k - 1] == 0] = 0
             held.append(rows)
-            size += len(begin)
-        if size >= CHUNK:
+            seen += len(begin)
+        if seen >= CHUNK:
             yield from flush()
-            held, size = [], 0
-    if size:
+            held, seen = [], 0
+    if seen:
         yield from flush()
 
 
@@ -197,7 +198,7 @@ def _sort(key: tuple, held: pa.Table, least: int, routes: int, longest: int) ->
     mixed = np.random.default_rng(0).permutation(w.shape[1])
     found = count_prefixes(np.ascontiguousarray(w[:, mixed]), n[mixed], least)
     if key[0].as_py() >= routes:
-        found = [(p, c) for p, c in found if len(p) > 2]
+        found = [(p, c) for p, c in found if len(p) == key[0].as_py() // routes + 1]
     columns = [pa.array([p.view(np.int64).tolist() for p, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.int64())]
     return pa.table(columns, ["ids", "a"])
 
@@ -222,6 +223,12 @@ def phrases(docs: DataFrame, vocab: DataFrame, text_col: str, lang: str, longest
     return materialize(found, "phrases")
 
 
+def score(a: str, left: str, right: str) -> Column:
+    """``floor(1000000 a a / (left right))`` by exact decimals; counts have up to 15 digits and are at least ``a``."""
+    x, y, z = (f"cast({c} as decimal(15,0))" for c in (a, left, right))
+    return F.expr(f"(cast(1000000 as decimal(7,0)) * ({x} * {x})) div ({y} * {z})")
+
+
 def collocations(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, least: int = 10,
     cover: int = 50, best: int = 2000, unknown: str = "und",
@@ -244,10 +251,7 @@ def collocations(
     cuts = found.select("ids", "a", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("k"))
     cuts = cuts.select("ids", "a", "k", F.slice("ids", F.lit(1), F.col("k")).alias("x"), F.expr("slice(ids, k + 1, size(ids) - k)").alias("y"))
     cuts = cuts.join(counts.select(F.col("ids").alias("x"), F.col("a").alias("l")), "x").join(counts.select(F.col("ids").alias("y"), F.col("a").alias("r")), "y")
-    wide = {c: F.col(c).cast("decimal(15,0)") for c in ("a", "l", "r")}
-    cuts = cuts.withColumns({f"_{c}": v for c, v in wide.items()})
-    # the parts have at least as many occurrences as the whole, so the quotient is at most 1000000
-    cuts = cuts.withColumn("score", F.expr("(cast(1000000 as decimal(7,0)) * (_a * _a)) div (_l * _r)"))
+    cuts = cuts.withColumn("score", score("a", "l", "r"))
     scored = cuts.groupBy("ids").agg(F.min_by(F.struct("a", "l", "r", "score"), F.struct("score", "k")).alias("s")).select("ids", "s.*")
     inside = found.where(F.size("ids") > 2).select(
         F.col("a").alias("longer"), F.explode(F.expr(
