@@ -23,7 +23,7 @@ from recordmill.operators.ordering import running
 RUN, LEVELS = 16, 2
 BLOCK = RUN**LEVELS
 #: Leaves of a group from which on they are numbered in slices.
-PLAIN_ROWS = 200_000
+PLAIN_ROWS = 10_000
 
 _PATH = "array<struct<left: string, right: string>>"
 _PATH_TYPE = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
