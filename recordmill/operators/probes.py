@@ -1,7 +1,6 @@
-"""Linear models on vectors with Spark ML: probes, regressions, erasure, refit bootstrap.
+"""Linear models on vectors: probes, regressions, classes, erasure.
 
-The objective matches the usual C parameter of L2 logistic regression with ``regParam = 1 / (C n)``.
-Only fitted weights reach the driver.
+Penalties follow the usual C of L2 logistic regression and alpha of ridge regression. Only fitted weights reach the driver.
 """
 
 from __future__ import annotations
@@ -12,12 +11,12 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.functions import vectors as V
-from recordmill.operators import metrics, vectors
+from recordmill.functions.nullsafe import attach
+from recordmill.operators import manyfits, vectors
 from recordmill.operators.splits import kfold_grouped, kfold_stratified
 from recordmill.session import materialize
 
@@ -50,49 +49,27 @@ def _features(df: DataFrame, vector: str, mean, sd) -> Column:
     return array_to_vector(F.zip_with(centred, V.literal(sd), lambda x, s: x / s))
 
 
-def _fit(data: DataFrame, label: str, c: float, n: int, weight: str | None = None):
-    lr = LogisticRegression(
-        featuresCol="__x", labelCol=label, regParam=1.0 / (c * n), elasticNetParam=0.0,
-        standardization=False, maxIter=200, tol=1e-7,
-    )
-    if weight:
-        lr = lr.setWeightCol(weight)
-    return lr.fit(data)
+def probe_of(fitted: manyfits.Fitted) -> Probe:
+    beta = fitted.standard.tolist()
+    return Probe(fitted.mean.tolist(), fitted.sd.tolist(), beta[:-1], beta[-1], fitted.fit.c)
 
 
 def fit_probe(
     train: DataFrame, vector: str, label: str, key: Sequence[str], grid: Sequence[float] = (0.01, 0.1, 1.0),
     folds: int = 3, seed: int = 42, group: Sequence[str] | None = None, weight: str | None = None,
 ) -> Probe:
-    """L2 logistic probe; C is chosen by the mean AUC over stratified or grouped folds."""
-    mean, sd, n = fit_standardizer(train, vector)
+    """L2 logistic probe; C is chosen by the mean AUC over stratified or grouped folds, all fits of which share their passes."""
     cols = [*key, label, *([weight] if weight else []), *[g for g in (group or []) if g not in key]]
-    data = train.select(*cols, vector).withColumn("__x", _features(train, vector, mean, sd)).drop(vector)
-    c = grid[0]
-    if len(grid) > 1:
-        if group:
-            assigned = data.join(kfold_grouped(data, group, folds).drop("group_size"), list(group))
-        else:
-            assigned = kfold_stratified(data, [label], key, folds, seed)
-        assigned = materialize(assigned, "folds")
-        scores = []
-        for f in range(folds):
-            inner, held = assigned.where(F.col("fold") != f), assigned.where(F.col("fold") == f)
-            for value in grid:
-                model = _fit(inner, label, value, max(1, round(n * (folds - 1) / folds)), weight)
-                raw = vector_to_array("rawPrediction")[1]
-                scores.append(
-                    model.transform(held).select(
-                        F.lit(f).alias("f"), F.lit(float(value)).alias("c"), label, raw.alias("s")
-                    )
-                )
-        table = scores[0]
-        for s in scores[1:]:
-            table = table.unionAll(s)
-        means = metrics.auc(table, ["f", "c"], "s", label).groupBy("c").agg(F.avg("auc").alias("auc"))
-        c = means.agg(F.max_by("c", F.struct(F.round("auc", 9), -F.col("c")))).first()[0]
-    model = _fit(data, label, c, n, weight)
-    return Probe(mean, sd, [float(x) for x in model.coefficients.toArray()], float(model.intercept), float(c))
+    data = train.select(*cols, vector)
+    if len(grid) == 1:
+        data = data.withColumn("fold", F.lit(0))
+    elif group:
+        data = attach(data, kfold_grouped(data, group, folds).drop("group_size"), list(group))
+    else:
+        data = kfold_stratified(data, [label], key, folds, seed)
+    w = F.array(F.col(weight).cast("double") if weight else F.lit(1.0))
+    rows = materialize(data.select(F.col(vector).alias("x"), "fold", F.array(label).alias("y"), w.alias("w")), "fit-rows")
+    return probe_of(manyfits.fit_chosen(rows, "x", [(0, 0)], grid, folds)[0])
 
 
 def fit_multiclass(
@@ -102,70 +79,75 @@ def fit_multiclass(
     mean, sd, n = fit_standardizer(train, vector)
     lr = LogisticRegression(
         featuresCol="__x", labelCol=label, family="multinomial", regParam=1.0 / (c * n),
-        elasticNetParam=elastic_net, standardization=False, maxIter=100,
-        predictionCol="predicted", **({"weightCol": weight} if weight else {}),
+        elasticNetParam=elastic_net, standardization=False, maxIter=500, tol=1e-10,
+        **({"weightCol": weight} if weight else {}),
     )
     model = lr.fit(train.withColumn("__x", _features(train, vector, mean, sd)))
+    weights, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
 
     def predict(df: DataFrame) -> DataFrame:
-        out = model.transform(df.withColumn("__x", _features(df, vector, mean, sd)))
-        return out.withColumn("predicted", F.col("predicted").cast("int")).drop("__x", "rawPrediction", "probability")
-
+        """Adds ``predicted`` and ``probabilities``, by linear expressions of the fitted weights."""
+        x = vector_to_array("__x")
+        scores = F.array(*[V.dot(x, V.literal(w)) + float(b) for w, b in zip(weights, intercepts)])
+        out = df.withColumn("__x", _features(df, vector, mean, sd)).withColumn("__s", scores).drop("__x")
+        powers = F.transform("__s", lambda s: F.exp(s - F.array_max("__s")))
+        out = out.withColumn("probabilities", V.scale(powers, 1 / V.total(powers)))
+        return out.withColumn("predicted", (F.array_position("__s", F.array_max("__s")) - 1).cast("int")).drop("__s")
+
+    predict.weights, predict.mean, predict.sd, predict.n = weights, mean, sd, n
     return predict
 
 
 def fit_regression(train: DataFrame, vector: str, target: str, form: str, alpha: float = 1.0):
-    """Ridge regression of a non-negative target as it is, as log1p, or as a hurdle product."""
-    mean, sd, n = fit_standardizer(train, vector)
+    """Ridge regression of a non-negative target as it is, as log1p, or as a hurdle product.
 
-    def ridge(df: DataFrame, y: Column):
-        lr = LinearRegression(featuresCol="__x", labelCol="__y", regParam=alpha / n, elasticNetParam=0.0, standardization=False, solver="normal")
-        return lr.fit(df.withColumn("__y", y))
-
-    rows = train.withColumn("__x", _features(train, vector, mean, sd))
-    y = F.col(target)
-    chance = None
-    if form == "raw":
-        model, back = ridge(rows, y), lambda p: p
-    elif form == "log1p":
-        model, back = ridge(rows, F.log1p(y)), F.expm1
-    elif form == "hurdle":
-        chance = _fit(rows.withColumn("__pos", (y > 0).cast("int")), "__pos", 1.0, n)
-        model, back = ridge(rows.where(y > 0), F.log1p(y)), F.expm1
-    else:
+    Returns a function that adds predictions; its ``model`` is the linear part. The hurdle's linear part is fitted on positive
+    targets, its chance on all rows; both see vectors standardised on all rows.
+    """
+    if form not in ("raw", "log1p", "hurdle"):
         raise ValueError(form)
-
-    def linear(m) -> Column:
-        return V.dot(vector_to_array("__x"), V.literal(m.coefficients.toArray())) + float(m.intercept)
+    y = F.col(target).cast("double")
+    positive = (y > 0).cast("double")
+    rows = train.where(y.isNotNull()).select(
+        F.col(vector).alias("x"), F.array(y, F.log1p(y), positive).alias("y"), F.array(F.lit(1.0), positive).alias("w")
+    )
+    rows = materialize(rows, "fit-rows")
+    where, what = {"raw": (0, 0), "log1p": (0, 1), "hurdle": (1, 1)}[form]
+    model = manyfits.fit_ridge(rows, "x", [(where, what, alpha)])[0]
+    chance = manyfits.fit_many(rows, "x", [manyfits.Fit(0, 2, 1.0)])[0] if form == "hurdle" else None
 
     def predict(df: DataFrame, out: str = "predicted") -> DataFrame:
-        p = back(linear(model))
+        p = model.score(vector)
+        if form != "raw":
+            p = F.expm1(p)
         if chance is not None:
-            p = p / (1 + F.exp(-linear(chance)))
-        p = p if form == "raw" else F.greatest(p, F.lit(0.0))
-        return df.withColumn("__x", _features(df, vector, mean, sd)).withColumn(out, p).drop("__x")
+            p = p / (1 + F.exp(-chance.score(vector)))
+        return df.withColumn(out, p if form == "raw" else F.greatest(p, F.lit(0.0)))
 
+    predict.model = model
     return predict
 
 
 def erase_label(
     df: DataFrame, vector: str, label: str, rounds: int, c: float = 1.0, fit_on: Column | None = None
-) -> tuple[list[DataFrame], list[list[float]]]:
+) -> tuple[list[DataFrame], list[manyfits.Fitted]]:
     """Iteratively fit the nuisance label and project its direction out.
 
-    Returns the table after 0, 1, ... rounds and the directions. Rows that meet ``fit_on`` (default: all)
-    are fitted; every row is projected.
+    Returns the table after 0, 1, ... rounds and the fits. Rows that meet ``fit_on`` (default: all)
+    are fitted; every row is projected. A fit's weights are a sum of vectors, so its direction is
+    orthogonal to those erased before.
     """
-    states, directions = [df], []
+    weight = F.lit(1.0) if fit_on is None else F.coalesce(fit_on, F.lit(False)).cast("double")
+    df = df.withColumns({"__w": F.array(weight), "__y": F.array(label)})
+    states, fits = [df], []
     for _ in range(rounds):
-        train = df if fit_on is None else df.where(fit_on)
-        w = _fit(train.withColumn("__x", array_to_vector(F.col(vector))), label, c, train.count()).coefficients.toArray()
-        u = w / (np.linalg.norm(w) + 1e-12)
-        directions.append([float(x) for x in u])
+        fitted = manyfits.fit_many(df, vector, [manyfits.Fit(0, 0, c)], "__w", "__y", standardize=False)[0]
+        u = fitted.weights / (np.linalg.norm(fitted.weights) + 1e-12)
+        fits.append(fitted)
         # Each round is written, so that the plan does not grow with the number of rounds.
         df = materialize(df.withColumn(vector, V.erase(F.col(vector), V.literal(u))), "erased")
         states.append(df)
-    return states, directions
+    return [s.drop("__w", "__y") for s in states], fits
 
 
 def axis_shares(axes: Sequence[Sequence[float]], w: Sequence[float]) -> list[float]:

@@ -4,7 +4,7 @@ import importlib
 
 from recordmill.plans.registry import ORACLE, QUERIES
 
-SECTIONS = ["ingest", "cleaning", "joining", "timelines", "scores", "splitting", "resampling", "calibration", "validation", "embedding", "grouping", "streams"]
+SECTIONS = ["ingest", "cleaning", "joining", "timelines", "scores", "splitting", "resampling", "calibration", "validation", "embedding", "fits", "grouping", "streams"]
 
 for _section in SECTIONS:
     importlib.import_module(f"recordmill.plans.{_section}")

@@ -1,16 +1,16 @@
 """Queries on vectors, reference sets and linear models."""
 
+import numpy as np
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from recordmill.functions import text
 from recordmill.functions import vectors as V
-from recordmill.functions.hashing import hash_key, sql_hash
-from recordmill.operators import metrics, probes, resample, splits, timeline, vectors
+from recordmill.functions.hashing import sql_hash
+from recordmill.operators import metrics, probes, vectors
 from recordmill.plans.registry import Tables, query
 from recordmill.plans.scores import _r, sql_auc
-from recordmill.session import materialize
 
 # Fixed weights: two readout directions of 64 numbers.
 W_A = [((j * 37) % 11 - 5) / 10 for j in range(64)]
@@ -201,21 +201,45 @@ def variance_ratio(t: Tables):
     return _r(vectors.variance_ratio(emb(t), "domain", "x"), "between", "within", "ratio")
 
 
-@query("axis_shares")
-def axis_shares(t: Tables):
-    """Shares of a readout direction along two label axes and one domain axis."""
-    m = {(r.domain, r.y): r.mean for r in vectors.moments(emb(t).where("domain <= 1"), ["domain", "y"], "x").collect()}
-    diff = lambda a, b: [p - q for p, q in zip(a, b)]
-    mid = lambda d: [(p + q) / 2 for p, q in zip(m[d, 1], m[d, 0])]
-    axes = [diff(m[0, 1], m[0, 0]), diff(m[1, 1], m[1, 0]), diff(mid(0), mid(1))]
-    shares = probes.axis_shares(axes, W_A)
-    names = ["label_axis_0", "label_axis_1", "domain_axis", "rest"]
-    return t.spark.createDataFrame(list(zip(names, shares)), "axis string, share double")
+# Axes: the label axis of every domain, then the difference of each domain's centre to the next; made orthogonal in this order.
+def _axes_sql() -> str:
+    """Energy of W_A along nine orthogonal axes and the rest, by Gram-Schmidt written out."""
+    steps = [f"""
+    c as (select domain, y, list(v order by dim) as m from (select domain, y, dim, avg(v) as v from ({LONG_SQL}) group by all) group by all),
+    p as (select domain, max(m) filter (y = 1) as pos, max(m) filter (y = 0) as neg from c group by 1),
+    a as (
+      select domain as k, list_transform(range(1, 65), lambda i: pos[i] - neg[i]) as a from p
+      union all
+      select 5 + x.domain, list_transform(range(1, 65), lambda i: (x.pos[i] + x.neg[i]) / 2 - (y.pos[i] + y.neg[i]) / 2)
+      from p x join p y on y.domain = x.domain + 1),
+    q0 as (select list_transform(a, lambda v: v / sqrt(list_inner_product(a, a))) as q from a where k = 0)"""]
+    for k in range(1, 9):
+        steps.append(f"""
+    o{k} as (select {"list_transform(range(1, 65), lambda i: a[i] - " + " - ".join(f"list_inner_product(a, q{j}.q) * q{j}.q[i]" for j in range(k)) + ")"} as o
+           from a, {", ".join(f"q{j}" for j in range(k))} where k = {k}),
+    q{k} as (select list_transform(o, lambda v: v / sqrt(list_inner_product(o, o))) as q from o{k})""")
+    names = [f"label_axis_{d}" for d in range(5)] + [f"domain_axis_{d}_{d + 1}" for d in range(4)]
+    parts = " union all ".join(f"select '{n}' as axis, pow(list_inner_product(q, {_arr(UNIT_A)}), 2) as share from q{k}" for k, n in enumerate(names))
+    return f"""
+    with {",".join(steps)}, s as ({parts})
+    select axis, round(share, 6) as share from s union all select 'rest', round(1 - sum(share), 6) from s"""
 
 
 UNIT_A = [w / sum(x * x for x in W_A) ** 0.5 for w in W_A]
 
 
+@query("axis_shares", _axes_sql())
+def axis_shares(t: Tables):
+    """Shares of a readout direction along the label axis of every domain, the steps between domain centres, and the rest."""
+    m = {(r.domain, r.y): np.array(r.mean) for r in vectors.moments(emb(t), ["domain", "y"], "x").collect()}
+    domains = sorted({d for d, _ in m})
+    centre = {d: (m[d, 1] + m[d, 0]) / 2 for d in domains}
+    axes = {f"label_axis_{d}": m[d, 1] - m[d, 0] for d in domains}
+    axes |= {f"domain_axis_{a}_{b}": centre[a] - centre[b] for a, b in zip(domains, domains[1:])}
+    shares = probes.axis_shares(list(axes.values()), W_A)
+    return _r(t.spark.createDataFrame(list(zip([*axes, "rest"], shares)), "axis string, share double"), "share")
+
+
 @query(
     "erase_direction",
     f"""
@@ -235,24 +259,6 @@ def erase_direction(t: Tables):
     return _r(out, "along", "rest_norm", "left_over")
 
 
-@query("erase_direction_fit")
-def erase_direction_fit(t: Tables):
-    """AUC on a held-out fold of fresh probes for the target and for the nuisance label after each round of erasing the latter."""
-    e = emb(t).select("vec_id", "y", "x", (F.col("domain") == 0).cast("int").alias("nuisance"))
-    e = materialize(splits.kfold_stratified(e, ["y", "nuisance"], ["vec_id"], 3, 84), "folds")
-    train = F.col("fold") > 0
-    states, _ = probes.erase_label(e, "x", "nuisance", 3, fit_on=train)
-    out = None
-    for number, state in enumerate(states):
-        for label in ("y", "nuisance"):
-            probe = probes.fit_probe(state.where(train), "x", label, ["vec_id"], grid=(1.0,))
-            scored = state.where(~train).select(
-                F.lit(number).alias("round"), F.lit(label).alias("target"), F.col(label).alias("label"), probe.score("x").alias("s")
-            )
-            out = scored if out is None else out.unionByName(scored)
-    return metrics.auc(out, ["round", "target"], "s", "label")
-
-
 @query("pca2")
 def pca2(t: Tables):
     """Two principal components of vectors standardised on the training domains, and their share of the variance.
@@ -400,86 +406,3 @@ def majority_vote(t: Tables):
     n = picks.groupBy("vec_id", "cls").agg(F.count(F.lit(1)).alias("votes"))
     best = n.groupBy("vec_id").agg(F.max_by(F.struct("cls", "votes"), F.struct("votes", -F.col("cls"))).alias("b"))
     return best.select("vec_id", "b.cls", "b.votes")
-
-
-# Spark ML: rows-only checks
-
-
-@query("probe_scores")
-def probe_scores(t: Tables):
-    e = emb(t)
-    probe = probes.fit_probe(e.where("domain <= 2"), "x", "y", ["vec_id"])
-    scored = e.select("domain", "y", probe.score("x").alias("s"))
-    return metrics.auc(scored, ["domain"], "s", "y").withColumn("best_c", F.lit(probe.c))
-
-
-@query("regress_forms")
-def regress_forms(t: Tables):
-    rows = t.orders.select(
-        "o_orderkey", F.array(F.month("o_orderdate").cast("double"), F.year("o_orderdate") - 1995.0, F.length("o_orderpriority").cast("double")).alias("x"),
-        F.greatest(F.col("o_totalprice") / 1000 - 100, F.lit(0.0)).alias("target"),
-    )
-    train, test = rows.where(F.col("x")[1] <= 3), rows.where(F.col("x")[1] > 3)
-    out = None
-    for form in ("raw", "log1p", "hurdle"):
-        pred = probes.fit_regression(train, "x", "target", form)(test).withColumn("form", F.lit(form))
-        out = pred if out is None else out.unionByName(pred)
-    return metrics.regression_metrics(out, ["form"], "target", "predicted")
-
-
-@query("probe_multiclass")
-def probe_multiclass(t: Tables):
-    e = splits.kfold_stratified(emb(t), ["label"], ["vec_id"], 3, 81)
-    train = timeline.size_weights(e.where("fold > 0"), ["label"], "balanced", "w")
-    predict = probes.fit_multiclass(train, "x", "label", weight="w")
-    return metrics.multiclass_metrics(predict(e.where("fold = 0")), [], "label", "predicted")
-
-
-@query("bootstrap_refit")
-def bootstrap_refit(t: Tables):
-    """Test AUC of probes refitted on resampled training groups."""
-    e = materialize(emb(t).withColumn("grp", F.pmod(hash_key(61, "vec_id"), F.lit(40))), "embeddings")
-    train, test = e.where("domain <= 2"), e.where("domain > 2")
-    weights = materialize(resample.draw_weights(train.select("grp").distinct(), [], ["grp"], 3, 61), "weights")
-    scored = None
-    for b in range(3):
-        w = weights.where(F.col("b") == b).select("grp", F.col("w").cast("double").alias("w"))
-        probe = probes.fit_probe(train.join(w, "grp"), "x", "y", ["vec_id"], grid=[0.1], weight="w")
-        part = test.select(F.lit(b).alias("b"), "y", probe.score("x").alias("s"))
-        scored = part if scored is None else scored.unionAll(part)
-    return metrics.auc(scored, ["b"], "s", "y")
-
-
-def training_sets(e):
-    """All sets of one to three of the table's domains."""
-    domains = sorted(r.domain for r in e.select("domain").where("domain is not null").distinct().collect())
-    return splits.domain_combinations(domains, [1, 2, 3])
-
-
-@query("transfer_matrix")
-def transfer_matrix(t: Tables):
-    """AUC on every domain of probes trained on every single domain, pair and triple of domains."""
-    e = materialize(emb(t), "embeddings")
-    scored = None
-    for combo in training_sets(e):
-        probe = probes.fit_probe(e.where(F.col("domain").isin(*combo)), "x", "y", ["vec_id"], grid=[0.1])
-        part = e.select(F.lit("+".join(map(str, combo))).alias("train_set"), "domain", "y", probe.score("x").alias("s"))
-        scored = part if scored is None else scored.unionAll(part)
-    return metrics.auc(scored, ["train_set", "domain"], "s", "y")
-
-
-@query("control_task")
-def control_task(t: Tables):
-    """Fit on shuffled and on real labels; score both against the real labels elsewhere."""
-    e = emb(t)
-    train = splits.shuffle_values(e.where("domain <= 2").select("vec_id", "domain", "y", "x"), [], ["vec_id"], "y", 71, "shuffled")
-    train = materialize(train, "shuffled")
-    scored = None
-    for name, label in (("real", "y"), ("shuffled", "shuffled")):
-        probe = probes.fit_probe(train, "x", label, ["vec_id"], grid=[1.0])
-        s = probe.score("x").alias("s")
-        fit = train.select(F.lit(name).alias("labels"), F.lit("fit").alias("side"), F.col(label).alias("y"), s)
-        real = e.where("domain > 2").select(F.lit(name).alias("labels"), F.lit("eval").alias("side"), "y", s)
-        part = fit.unionAll(real)
-        scored = part if scored is None else scored.unionAll(part)
-    return metrics.auc(scored, ["labels", "side"], "s", "y")
