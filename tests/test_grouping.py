@@ -49,11 +49,14 @@ def corpus(seed):
     return {i: " ".join(d) for i, d in enumerate(docs)}
 
 
-@pytest.mark.parametrize("front", [1, 16])
-def test_greedy_links_equal_brute_force(spark, front):
+@pytest.mark.parametrize("front,hot", [(1, 64), (16, 4)])
+def test_greedy_links_equal_brute_force(spark, monkeypatch, front, hot):
+    monkeypatch.setattr(grouping, "HOT_BUCKET", hot)
     docs = corpus(7)
     df = spark.createDataFrame(list(docs.items()), "id long, text string")
-    links = grouping.greedy_links(df, [], "id", "text", [0.5, 0.8], coverage=0.6, front=front)
+    rounds = []
+    links = grouping.greedy_links(df, [], "id", "text", [0.5, 0.8], coverage=0.6, front=front, trace=rounds)
+    assert all(a > b for a, b in zip(rounds, rounds[1:])) and rounds[-1] == 0
     got = {(r.thr, r.id): r.representative for r in links.collect()}
     for thr in (0.5, 0.8):
         want = brute_greedy(docs, thr, 0.6)

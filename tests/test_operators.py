@@ -204,7 +204,7 @@ def test_records_with_leading_marks(spark):
 
 
 def test_training_sets_of_all_domains(spark):
-    from recordmill.plans.embedding import training_sets
+    from recordmill.plans.fits import training_sets
 
     sets = [tuple(c) for c in training_sets(spark.createDataFrame([(d,) for d in (3, 0, 4, 1, 2, 2)], "domain long"))]
     assert len(sets) == len(set(sets)) == 25 and {(3,), (4,), (3, 4), (2, 3, 4)} <= set(sets)
