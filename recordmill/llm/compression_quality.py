@@ -2,8 +2,8 @@
 
 Two zstandard dictionaries are built from labelled texts. A text that is like good text compresses better with the
 good dictionary: ``(bytes with bad - bytes with good) / bytes`` is the normalised difference. A
-logistic curve over it and the share of bytes the good dictionary leaves, fitted on labelled
-texts that built no dictionary, turns it into a probability.
+logistic curve over it, the share of bytes the good dictionary leaves, the difference over the larger size, and their squares,
+fitted on labelled texts that built no dictionary, turns it into a probability.
 """
 
 from __future__ import annotations
@@ -18,9 +18,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of what is learnt from: labelled rows of a class for each of the two purposes, and their
-#: bytes; rows are taken in the order of a hash of their id. Everything else covers all rows.
+from recordmill.llm.common import materialize, maybe_in
+
+#: Bounds of what is learnt from: labelled rows of a class for each of the two purposes, and their bytes; rows are taken
+#: in the order of a hash of their id, those that would exceed the bytes are passed over. Everything else covers all rows.
 SAMPLE_ROWS = 2000
+#: Ids taken beyond that, for rows that have no text.
+SPARE_ROWS = 1000
 SAMPLE_BYTES = 12_000_000
 PIECE = 8192
 LEVEL = 3
@@ -46,7 +50,7 @@ def _compressors(good: bytes, bad: bytes) -> list[zstandard.ZstdCompressor]:
 
 
 def features(texts: list[str | None], good: bytes, bad: bytes) -> np.ndarray:
-    """Normalised size difference, and share left by the good dictionary, of each text."""
+    """Normalised size difference, share left by the good dictionary, and difference over the larger size, of each text."""
     by_good, by_bad = _compressors(good, bad)
     out = np.zeros((len(texts), 3))
     for i, text in enumerate(texts):
@@ -93,24 +97,30 @@ def build_dictionary(texts: list[str]) -> bytes:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Learn from labelled rows whose crc32(id as text) mod 3 is not 1: 0 builds dictionaries, 2 calibrates.
 
-    Rows without text, id or label are not learnt from. With one class or none the score is the
+    Rows without text, id or label are not learnt from; of repeated labels of an id the largest counts, rows that repeat an id are all
+    learnt from. With one class or none the score is the
     share of good labels, or one half.
     """
     part = F.crc32(F.col(id_col).cast("string")) % 3
-    known = labels.where(F.col(label_col).isin(0, 1) & (part != 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    rows = docs.select(id_col, F.col(text_col).alias("text")).where("text is not null").join(known, id_col)
-    rows = rows.select("y", part.alias("part"), F.xxhash64(id_col).alias("order"), "text")
+    known = labels.where(F.col(label_col).isin(0, 1) & (part != 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+    known = materialize(known.select("id", "y", (F.crc32(F.col("id").cast("string")) % 3).alias("part"), F.xxhash64("id").alias("order")), "known")
+    groups = [(y, k) for y in (0, 1) for k in (0, 2)]
+    # ids are chosen from the labels alone, some to spare for rows without text; one scan fetches their texts
+    chosen = [known.where((F.col("y") == y) & (F.col("part") == k)).orderBy("order", "id").limit(SAMPLE_ROWS + SPARE_ROWS) for y, k in groups]
+    chosen = materialize(functools.reduce(DataFrame.unionByName, chosen), "chosen")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    rows = rows.where(maybe_in("id", chosen.select("id"))).join(chosen, "id")
+    rows = materialize(rows.select("y", "part", "order", "text"), "sample")
     sample: dict[tuple[int, int], list[str]] = {}
-    for y in (0, 1):
-        for k in (0, 2):
-            top = rows.where((F.col("y") == y) & (F.col("part") == k)).select("order", "text").orderBy("order", "text").limit(SAMPLE_ROWS)
-            held, size = [], 0
-            for r in top.toLocalIterator():
-                size += len(r["text"])
-                if size > SAMPLE_BYTES and held:
-                    break
+    for y, k in groups:
+        top = rows.where((F.col("y") == y) & (F.col("part") == k)).select("order", "text").orderBy("order", "text").limit(SAMPLE_ROWS)
+        held, size = [], 0
+        for r in top.toLocalIterator():
+            n = len(r["text"].encode("utf-8"))
+            if size + n <= SAMPLE_BYTES:
                 held.append(r["text"])
-            sample[y, k] = held
+                size += n
+        sample[y, k] = held
     good, bad = build_dictionary(sample[1, 0]), build_dictionary(sample[0, 0])
     texts = sample[0, 2] + sample[1, 2]
     y = np.array([0.0] * len(sample[0, 2]) + [1.0] * len(sample[1, 2]))
@@ -143,5 +153,6 @@ def _loaded(raw: bytes) -> QualityModel:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
+    """True for rows that no model learns from; null for a null id."""
     return F.crc32(F.col(id_col).cast("string")) % 3 == 1
 
