@@ -3,14 +3,16 @@
 Base patterns find emails, addresses of machines, cards and phone numbers: the protected entities.
 The corpus then tells how strongly a word reveals one: of all occurrences of term ``t``, the share
 ``P(e | t)`` stands within ``NEAR`` words of a mention of entity ``e``. After seeing ``t``, ``-log2 P(e | t)``
-bits of doubt about ``e`` are left. Beside a mention, a term that leaves at most ``REMOVE_BITS`` is removed, one that
+bits of doubt about ``e`` are left. A term that leaves at most ``REMOVE_BITS`` about any entity is removed wherever it stands, one that
 leaves at most ``GENERALISE_BITS`` is replaced by its shape, if it was seen beside
-``e`` at least ``SUPPORT`` times. Counts cover all documents. Terms and entities travel as 64-bit hashes.
+the entity at least ``SUPPORT`` times (fewer tell too little to estimate a share). Counts cover all documents. Terms and entities travel as 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -116,14 +118,28 @@ def _scan(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["row", "kind", "e", "t", "start", "stop"])
 
 
-def _totals(batch: pa.RecordBatch, keep) -> pa.RecordBatch | None:
-    """Occurrences of the terms that may be asked for."""
-    tokens = [w.lower().encode() for t in batch.column(0).to_pylist() if t for w in _WORD.findall(t)]
-    if not tokens:
+def _occurrences(batch: pa.RecordBatch, keep) -> pa.RecordBatch | None:
+    """All occurrences of the terms that may be asked for; ``inside`` a base span they are counted only."""
+    rows = []
+    for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        found = _WORD.findall(text) if text else []
+        if not found:
+            continue
+        h = word_hashes([w.lower().encode() for w in found]).view(np.int64)
+        hits = np.flatnonzero(keep(h))
+        if not len(hits):
+            continue
+        spans = [m.span() for m in _WORD.finditer(text)]
+        taken = sorted((a, b) for _, a, b in entities(text))
+        starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+        for k, t in zip(hits.tolist(), h[hits].tolist()):
+            a, b = spans[k]
+            before = bisect_left(starts, b)
+            rows.append((row, t, a, b, bool(before) and reach[before - 1] > a))
+    if not rows:
         return None
-    h = word_hashes(tokens).view(np.int64)
-    t, n = np.unique(h[keep(h)], return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(t), pa.array(n)], ["t", "n"])
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["row", "t", "start", "stop", "inside"])
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,15 +152,21 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     found = materialize(map_batches(rows.select("row", "text"), _scan, _NEAR), "mentions")
     near = found.where("kind is null")
-    joint = materialize(near.groupBy("e", "t").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT), "joint")
-    keep = bit_filter(joint.select("t"))
-    totals = map_batches(rows.select("text"), _totals, "t bigint, n bigint", keep).groupBy("t").agg(F.sum("n").alias("n"))
-    bits = -F.log2(F.col("both") / F.col("n"))
+    joint = near.groupBy("e", "t").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
+    # a term occurs at least as often as it stands near any entity, so common words are ruled out before all texts are read
+    around = near.select("row", "start", "t").distinct().groupBy("t").agg(F.count("*").alias("around"))
+    doubt = lambda n: -F.log2(F.col("both") / F.col(n))
+    joint = materialize(joint.join(around, "t").where(doubt("around") <= GENERALISE_BITS + 1e-9).select("e", "t", "both"), "joint")
+    text = rows.select("row", "text")
+    seen = materialize(map_batches(text, _occurrences, "row bigint, t bigint, start int, stop int, inside boolean", bit_filter(joint.select("t"))), "occurrences")
+    totals = seen.groupBy("t").agg(F.count("*").alias("n"))
+    bits = doubt("n")
     flagged = joint.join(totals, "t").select(
-        "e", "t", F.when(bits <= REMOVE_BITS, "remove").when(bits <= GENERALISE_BITS, "generalise").alias("kind")
+        "t", F.when(bits <= REMOVE_BITS, "remove").when(bits <= GENERALISE_BITS, "generalise").alias("kind")
     ).where("kind is not null")
-    # a word beside two entities is treated by the one that it reveals more
-    terms = near.drop("kind").join(flagged, ["e", "t"]).groupBy("row", "start", "stop").agg(F.max("kind").alias("kind"))
+    # a word that tells of two entities is treated by the one that it reveals more, wherever it stands
+    flagged = flagged.groupBy("t").agg(F.max("kind").alias("kind"))
+    terms = seen.where("not inside").join(flagged, "t").select("row", "start", "stop", "kind").distinct()
     spans = found.where("kind is not null").select("row", "kind", "start", "stop").distinct()
     spans = spans.unionByName(terms.select("row", "kind", "start", "stop"))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS + TERMS]), F.col("kind"))
@@ -172,8 +194,13 @@ def _sanitise(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and text with entities named by kind only, and revealing terms removed or generalised."""
-    spans = find_personal(docs, id_col, text_col).select("row", "spans").dropDuplicates(["row"])
-    rows = docs.select(id_col, text_col, F.xxhash64(id_col, text_col).alias("row")).join(spans, "row")
+    """The id and text of every row with entities named by kind only, and revealing terms removed or generalised.
+
+    Null and empty texts stay as they are, repeated rows stay repeated.
+    """
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    spans = find_personal(slim, "id").select("row", "spans").dropDuplicates(["row"])
+    rows = slim.withColumn("row", F.xxhash64("id", "text")).join(spans, "row")
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(rows.select(id_col, text_col, "spans"), _sanitise, f"`{id_col}` {kind}, `{text_col}` string")
+    clean = map_batches(rows.select("id", "text", "spans"), _sanitise, f"id {kind}, text string")
+    return clean.select(F.col("id").alias(id_col), F.col("text").alias(text_col))
