@@ -11,12 +11,14 @@ the two neighbouring cells only, however long the text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordmill.llm.common import map_batches
+from recordmill.llm.common import map_batches, materialize
 
 #: Code points to either side within which complementary parts are looked for.
 REACH = 200
@@ -63,6 +65,18 @@ def weak_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def apart(spans: list[tuple[str, int, int]], found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that overlap none of ``found``, which are ordered by start."""
+    starts = [a for _, a, _ in found]
+    reach = list(accumulate((b for _, _, b in found), max))
+    out = []
+    for span in spans:
+        before = bisect_left(starts, span[2])
+        if not before or reach[before - 1] <= span[1]:
+            out.append(span)
+    return out
+
+
 def _scan(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     rows = []
     for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -70,7 +84,7 @@ def _scan(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             continue
         found = strong_spans(text)
         rows += [(row, k, _PART[k], a, b, False) for k, a, b in found]
-        rows += [(row, k, _PART[k], a, b, True) for k, a, b in weak_spans(text) if not any(a < y and x < b for _, x, y in found)]
+        rows += [(row, k, _PART[k], a, b, True) for k, a, b in apart(weak_spans(text), found)]
     if not rows:
         return None
     types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
@@ -105,7 +119,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are ignored. Spans are ordered by start, then kind in the order of ``KINDS + WEAK``.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    found = link_parts(scan_parts(rows, "row"), reach).distinct()
+    found = link_parts(materialize(scan_parts(rows, "row"), "parts"), reach).distinct()
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS + WEAK]), F.col("kind"))
     spans = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "stop", "kind"))).alias("spans"))
     spans = spans.select("row", F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))
