@@ -173,7 +173,7 @@ from p join best using (h)
 @query("op7_warc", REVISIT_SQL)
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     from recordmill.llm.common import new_path
-    from recordmill.llm.warc import read_warc, register, write_pages
+    from recordmill.llm.warc import base32_digest, read_warc, register, write_pages
 
     register(spark)
     path = new_path(spark, "warc")
@@ -182,7 +182,11 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     def number(column: str):
         return F.regexp_extract(column, r"^urn:page:(-?\d+)$", 1).cast("bigint")
 
-    return read_warc(spark, path, payload=False).select(
+    # payloads of responses are read, decoded and measured; a revisit has its header only
+    kept = read_warc(spark, path).where("record_type = 'response'")
+    kept = kept.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": base32_digest(F.sha1("payload"))})
+    again = read_warc(spark, path, payload=False).where("record_type = 'revisit'")
+    return kept.unionByName(again).select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"),
     )

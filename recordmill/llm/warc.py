@@ -1,7 +1,7 @@
 """WARC archives as a Python data source, with revisit records for repeated payloads (operator 7).
 
 Files hold one gzip member per record; the member's extra field ``sl`` tells its compressed and plain
-length, so a reader can go from record to record without inflating them. The reader plans one
+length, so a reader can go from record to record without reading or inflating them. Members without it are inflated one by one. The reader plans one
 partition per file (large tables have many files), takes over equality and membership tests on the
 record type and other header columns, inflates the headers of a record first, and leaves its payload alone if the tests
 fail or the option ``payload`` is ``false``.
@@ -66,7 +66,7 @@ def record(kind: str, record_id: str, uri: str | None, date: str, digest: str, s
 
 
 def _headers(raw: bytes) -> dict[str, str]:
-    pairs = (line.partition(":") for line in raw.decode("utf-8").split("\r\n")[1:])
+    pairs = (line.partition(":") for line in raw.decode("utf-8", "replace").split("\r\n")[1:])
     return {k.strip().lower(): v.strip() for k, _, v in pairs if k}
 
 
@@ -99,39 +99,115 @@ class WarcReader(DataSourceReader):
         if not partition.uri:
             return
         fs, name = pyarrow.fs.FileSystem.from_uri(partition.uri)
-        with fs.open_input_stream(name, compression=None, buffer_size=1 << 20) as source:
-            while head := source.read(_HEAD.size):
-                magic, _, _, _, _, _, _, size, _ = _HEAD.unpack(head)
-                if magic != b"\x1f\x8b\x08\x04":
-                    raise ValueError(f"{partition.uri}: not a record with a length field")
-                body = source.read(size - _HEAD.size)
-                row = self._row(body)
+        with fs.open_input_file(name) as source:
+            size = source.size()
+            while (at := source.tell()) < size:
+                try:
+                    row = self._next(source, at, size)
+                except (zlib.error, struct.error, ValueError, KeyError, UnicodeDecodeError) as wrong:
+                    raise ValueError(f"{partition.uri}: no whole record at byte {at}: {wrong}") from wrong
                 if row is not None:
                     yield row
 
-    def _row(self, body: bytes) -> tuple | None:
-        inflate = zlib.decompressobj(-15)
-        raw, rest = b"", body
-        while (cut := raw.find(b"\r\n\r\n")) < 0:
-            raw += inflate.decompress(rest, 2048)
-            rest = inflate.unconsumed_tail
-        held = _headers(raw[:cut])
+    def _next(self, source, at: int, size: int) -> tuple | None:
+        """The record that begins at ``at``, or None if the tests rule it out; leaves ``source`` at the next one."""
+        head = source.read(_HEAD.size)
+        fixed = _HEAD.unpack(head) if len(head) == _HEAD.size else (b"",) * 9
+        if fixed[0] == b"\x1f\x8b\x08\x04" and fixed[5:7] == (b"sl", 8):
+            end = at + fixed[7]
+            if end > size:
+                raise ValueError("the file ends inside it")
+            row = self._row(_Member(source, end, fixed[8]))
+            source.seek(end)
+            return row
+        # a plain member ends where its data do, so it is inflated
+        source.seek(at)
+        inflate, out, rest = zlib.decompressobj(31), [], b""
+        while not inflate.eof:
+            rest = source.read(1 << 16)
+            if not rest:
+                raise ValueError("the file ends inside it")
+            out.append(inflate.decompress(rest))
+        source.seek(source.tell() - len(inflate.unused_data))
+        return self._row(_Whole(b"".join(out)))
+
+    def _row(self, member) -> tuple | None:
+        cut = member.find(b"\r\n\r\n", 0)
+        held = _headers(member.raw[:cut])
         row = {c: held[h].strip("<>") if h.endswith(("-id", "refers-to")) else held[h] for c, h in HEADERS.items() if h in held}
         if any(row.get(c) not in wanted for c, wanted in self.tests):
             return None
-        start = cut + 4
-        while (end := raw.find(b"\r\n\r\n", start)) < 0:
-            raw += inflate.decompress(rest, 2048)
-            rest = inflate.unconsumed_tail
-        size = int(_headers(raw[start:end])["content-length"])
+        length = int(held["content-length"])
+        http = held.get("content-type", "").startswith("application/http") and length > 0
+        end = member.find(b"\r\n\r\n", cut + 4) if http else cut
+        fields = _headers(member.raw[cut + 4 : end]) if http else {}
+        size = length - (end - cut) if http else length
+        if row.get("record_type") == "revisit":
+            size = int(fields.get("content-length", size))
         payload = None
-        if self.with_payload and row["record_type"] == "response":
-            raw += inflate.decompress(rest) + inflate.flush()
-            payload = raw[end + 4 : end + 4 + size]
-        digest = held["warc-payload-digest"].removeprefix("sha1:")
+        if self.with_payload and row.get("record_type") != "revisit":
+            raw = member.whole()
+            payload = raw[end + 4 : cut + 4 + length]
+            if len(payload) != size:
+                raise ValueError("its content is shorter than its header says")
+        digest = held.get("warc-payload-digest", "").removeprefix("sha1:") or None
         return (*(row.get(c) for c in HEADERS), digest, size, payload)
 
 
+class _Whole:
+    """An inflated record."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+
+    def find(self, what: bytes, start: int) -> int:
+        at = self.raw.find(what, start)
+        if at < 0:
+            raise ValueError("it has no end of headers")
+        return at
+
+    def whole(self) -> bytes:
+        return self.raw
+
+
+class _Member(_Whole):
+    """A record that is read and inflated as far as it is asked for."""
+
+    STEP = 4096
+
+    def __init__(self, source, end: int, size: int):
+        super().__init__(b"")
+        self.source, self.end, self.size, self.inflate, self.rest = source, end, size, zlib.decompressobj(-15), b""
+
+    def _more(self) -> bool:
+        """Inflate one step more; false at the end of the data."""
+        while not self.inflate.eof:
+            data = self.rest or self.source.read(min(self.STEP, self.end - 8 - self.source.tell()))
+            if not data:
+                return False
+            out = self.inflate.decompress(data, self.STEP)
+            self.rest = self.inflate.unconsumed_tail
+            self.raw += out
+            if out:
+                return True
+        return False
+
+    def find(self, what: bytes, start: int) -> int:
+        while (at := self.raw.find(what, start)) < 0:
+            if not self._more():
+                raise ValueError("it has no end of headers")
+        return at
+
+    def whole(self) -> bytes:
+        parts = [self.raw, self.inflate.decompress(self.rest + self.source.read(self.end - 8 - self.source.tell()))]
+        parts.append(self.inflate.flush())
+        raw = b"".join(parts)
+        crc, size = struct.unpack("<II", self.source.read(8))
+        if not self.inflate.eof or zlib.crc32(raw) != crc or len(raw) & 0xFFFFFFFF != size:
+            raise ValueError("its data do not agree with its checksum")
+        return raw
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     uri: str
@@ -182,6 +258,7 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format ``warc`` known to the session, with filters handed to its reader."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
 
@@ -226,4 +303,10 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "19
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """Records of all ``*.warc.gz`` files below ``path``, columns of ``SCHEMA``.
+
+    ``payload`` is null for revisits, and everywhere if it is not asked for; then only headers are inflated. Files of
+    other writers are read too, member by member. A damaged record is an error that names its file and byte. A folder
+    without files gives no rows.
+    """
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
