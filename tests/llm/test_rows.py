@@ -70,6 +70,33 @@ def test_weak_parts_need_the_others(llm, odd_docs, no_docs):
     assert secrets.find_secrets(odd_docs).count() == 16 and secrets.find_secrets(no_docs).collect() == []
 
 
+def test_linking_against_all_pairs(llm):
+    rng = random.Random(4)
+    bits = ["user=alice", "account: bob99", "https://a.example/x", "host=db.example", "Zx8Qw3Rt6Yu1Io9Pa2Sd4Fg7", "AKIA" + "Q" * 16, "password=hunter2hunter2", "deadbeef" * 4, "word", " " * 90, " " * 150]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))) for i in range(150)]
+    for r in secrets.find_secrets(llm.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = dict(rows)[r.doc_id]
+        strong = secrets.strong_spans(text)
+        weak = [s for s in secrets.weak_spans(text) if not any(s[1] < y and x < s[2] for _, x, y in strong)]
+        assert secrets.apart(secrets.weak_spans(text), strong) == weak
+        every = strong + weak
+        want = set(strong)
+        for k, a, b in weak:
+            near = {secrets._PART[o] for o, x, y in every if x < b + secrets.REACH and y > a - secrets.REACH} - {secrets._PART[k]}
+            if len(near) == 2:
+                want.add((k, a, b))
+        assert {tuple(s) for s in r.spans} == want
+
+
+def test_long_dumps_are_scanned_in_linear_time():
+    import time
+
+    text = "user=alice password=hunter2hunter2 https://h.example/p Zx8Qw3Rt6Yu1Io9Pa2Sd4Fg7\n" * 12_500
+    start = time.monotonic()
+    assert len(secrets.apart(secrets.weak_spans(text), secrets.strong_spans(text))) >= 30_000
+    assert time.monotonic() - start < 5
+
+
 def test_weak_parts_of_any_length():
     key, name, host = "aB3/" * 22, "n" * 90, "https://h.example/" + "p" * 400
     text = f"user={name} {host} {key}"
@@ -106,12 +133,75 @@ def test_disclosure_counts(llm, odd_docs, no_docs):
     got = {r.doc_id: r.spans for r in disclosure.find_personal(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
     kinds = {(s.kind, tell[s.start : s.stop]) for s in got[0] if s.stop <= len(tell)}
     assert ("email", "joe@example.org") in kinds and ("remove", "zorblax") in kinds and ("remove", "Contact") in kinds
-    assert not {"the", "office", "town"} & {w for _, w in kinds} and got[10] == [] and got[60] == []
+    assert not {"the", "office", "town"} & {w for _, w in kinds} and got[10] == []
+    # a flagged term goes wherever it stands, beside a mention or not
+    assert [tuple(s) for s in got[60]] == [("remove", 0, 7)]
     clean = {r.doc_id: r.text for r in disclosure.sanitise(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert "zorblax" not in clean[0] and "[email]" in clean[0] and "office" in clean[0] and clean[10] == rows[4][1]
     assert disclosure.find_personal(odd_docs).count() == 16 and disclosure.find_personal(no_docs).collect() == []
 
 
+def test_disclosure_against_plain_python(llm):
+    rng = random.Random(9)
+    mails = [f"u{i}@x.org" for i in range(4)]
+    vocab = ["alpha", "beta", "gamma", "delta", "Omega", "is", "und", "x1y", "zeta"] + [f"rare{c}" for c in "abcdefgh"]
+    rows = [(i, " ".join(rng.choice(mails if rng.random() < 0.05 else vocab) for _ in range(rng.randint(0, 60)))) for i in range(120)]
+    rows += [(900, "rarea near u0@x.org " * 4), (901, "rarea"), (902, None), (903, "")]
+    both, total, base = {}, {}, {}
+    for i, text in rows:
+        found = disclosure.entities(text or "")
+        base[i] = {(k, a, b) for k, a, b in found}
+        spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", text or "")]
+        for a, b in spans:
+            total[text[a:b].lower()] = total.get(text[a:b].lower(), 0) + 1
+        free = [s for s in spans if not any(s[0] < b and a < s[1] for _, a, b in found)]
+        pairs = set()
+        for _, a, b in found:
+            after = sum(s[0] < a for s in free)
+            pairs |= {(text[a:b].lower(), k) for k in range(max(0, after - disclosure.NEAR), min(len(free), after + disclosure.NEAR))}
+        for e, k in pairs:
+            t = text[free[k][0] : free[k][1]].lower()
+            both[e, t] = both.get((e, t), 0) + 1
+    kinds = {}
+    for (e, t), n in both.items():
+        if n >= disclosure.SUPPORT and 4 * n >= total[t]:
+            kinds[t] = max(kinds.get(t, ""), "remove" if 2 * n >= total[t] else "generalise")
+    assert "rarea" in kinds
+    frame = llm.createDataFrame(rows, "doc_id long, text string")
+    for r in disclosure.find_personal(frame).collect():
+        text = dict(rows)[r.doc_id] or ""
+        want = set(base[r.doc_id])
+        for m in re.finditer(r"[^\W\d_]{3,}", text):
+            if m[0].lower() in kinds and not any(m.start() < b and a < m.end() for _, a, b in base[r.doc_id]):
+                want.add((kinds[m[0].lower()], m.start(), m.end()))
+        assert {tuple(s) for s in r.spans} == want
+
+
+def test_sanitise_odd_rows(llm, odd_docs, no_docs):
+    frame = odd_docs.withColumnRenamed("key", "row").withColumnRenamed("n", "id")
+    rows = disclosure.sanitise(frame).collect()
+    assert len(rows) == 16 and sum(r.text is None for r in rows) == 2 and sum(r.text == "" for r in rows) == 1
+    assert disclosure.sanitise(no_docs).collect() == []
+
+
+def test_quality_is_calibrated(llm):
+    docs, labels = (llm.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = compression_quality.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").where(compression_quality.held_out()).withColumn("score", compression_quality.score(model, docs)).toPandas()
+    for low in np.arange(0, 1, 0.25):
+        part = rows[(rows.score >= low) & (rows.score < low + 0.25)]
+        if len(part) >= 40:
+            assert abs(part.score.mean() - part.quality.mean()) < 0.15
+    assert abs(rows.score.mean() - rows.quality.mean()) < 0.05
+
+
+def test_quality_of_repeated_rows(llm):
+    docs = llm.createDataFrame([(i, f"good words number {i} " * 5 if i % 2 else f"zzz qqq {i} " * 5) for i in range(60)] * 2, "doc_id long, text string")
+    labels = llm.createDataFrame([(i, i % 2) for i in range(60)] * 3 + [(1, 0)], "doc_id long, quality int")
+    model = compression_quality.fit(docs, labels)
+    assert docs.select(compression_quality.score(model, docs).alias("s")).where("s between 0 and 1").count() == 120
+
+
 def test_byte_bpe_equals_library(llm, odd_docs, no_docs):
     import tiktoken
 
@@ -188,6 +278,35 @@ def test_warc_round_trip(llm):
     assert not [f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".part")]
 
 
+def _archive(llm, data):
+    path = new_path(llm, "warc-odd")
+    folder = path.removeprefix("file:")
+    os.makedirs(folder)
+    with open(f"{folder}/x.warc.gz", "wb") as f:
+        f.write(data)
+    return path
+
+
+def test_archives_of_others_and_damaged_ones(llm):
+    import gzip
+
+    warc.register(llm)
+    body = bytes(random.Random(1).randbytes(300_000))
+    records = [warc.record("response", f"urn:{i}", "http://a", "1970-01-01T00:00:00Z", "D", len(body), body, None) for i in range(3)]
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:i>\r\nWARC-Date: d\r\nContent-Type: application/warc-fields\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
+    ours, plain = b"".join(map(warc.member, records)), gzip.compress(info) + b"".join(map(gzip.compress, records))
+    for data, n in ((ours, 3), (plain, 4), (plain + ours, 7)):
+        got = warc.read_warc(llm, _archive(llm, data)).collect()
+        assert len(got) == n and all(bytes(r.payload) == (b"abcde" if r.record_type == "warcinfo" else body) for r in got)
+        assert warc.read_warc(llm, _archive(llm, data), payload=False).where("record_id = 'urn:1'").count() == (2 if n == 7 else 1)
+    flipped = bytearray(ours)
+    flipped[150_000] ^= 255
+    headless = warc.member(b"WARC/1.1 without an end")
+    for data in (ours[:-9], ours[: len(ours) // 2], plain[:-9], bytes(flipped), headless, gzip.compress(b"nothing"), b"no gzip at all, only text" * 9, ours + b"x"):
+        with pytest.raises(Exception, match="no whole record at byte"):
+            warc.read_warc(llm, _archive(llm, data)).collect()
+
+
 def test_member_is_plain_gzip():
     import gzip
 
