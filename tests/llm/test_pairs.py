@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from recordmill.llm import decontaminate, jaccard_join, line_dedup
@@ -101,13 +102,21 @@ def line_truth(docs, min_words=5, similarity=0.8):
             norm = line_dedup.normalize(line)
             if norm and len(norm.split(" ")) >= min_words:
                 places.setdefault(norm, []).append((i, k))
-    norms = sorted(places)
-    sims = {n: int(line_dedup.simhashes([len(n.split(" "))], line_dedup.word_hashes(n.encode().split(b" ")))[0]) for n in norms}
+    norms = sorted(places, key=lambda n: (n.count(" "), n))
+    tokens = [n.split(" ") for n in norms]
+    names = {w: k for k, w in enumerate({w for t in tokens for w in t})}
+    # exact bounds before the distance: every word that one line has and the other has not takes an edit
+    bags = [np.bincount([names[w] % 256 for w in t], minlength=256).astype(np.int16) for t in tokens]
+    bags = np.array(bags).reshape(-1, 256)
+    sizes = np.array([len(t) for t in tokens])
     links = []
-    for a, b in combinations(norms, 2):
-        x, y = a.split(" "), b.split(" ")
-        if bin(sims[a] ^ sims[b]).count("1") <= line_dedup.BITS and line_dedup.word_edit_distance(x, y) <= (1 - similarity) * max(len(x), len(y)) + 1e-9:
-            links.append((a, b))
+    for i in range(len(norms)):
+        most = np.floor((1 - similarity) * sizes[i] + 1e-9)
+        near = np.flatnonzero(sizes[:i] >= sizes[i] - most)
+        missing = np.maximum(bags[i] - bags[near], 0).sum(axis=1)
+        for j in near[missing <= most].tolist():
+            if line_dedup.word_edit_distance(tokens[i], tokens[j], most) <= most:
+                links.append((norms[i], norms[j]))
     groups = groups_of(links, norms)
     members = {}
     for n in norms:

@@ -42,4 +42,4 @@ def test_stages_keep_columns_and_survive_odd_rows(llm, odd_docs):
 
 def test_every_operator_is_registered():
     names = [n for n in driver.queries() if n.startswith("op")]
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} and "pipeline" in driver.queries()
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} and "pipeline" in driver.queries()
