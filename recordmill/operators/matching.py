@@ -2,23 +2,25 @@
 
 Round 1 pairs equal normalised names. Round 2 takes pairs with at least three shared tokens and a
 similarity above 0.7, round 3 any remaining pair above 0.6. Similarity is one minus the edit
-distance over the longer length. Candidates come from the rarest tokens (round 2) or the rarest
-character pairs (round 3) of each name; the numbers kept follow from the round's condition, so no
-qualifying pair is missed.
+distance over the longer length. Candidates come from the rarest tokens of each name (round 2) or from an index of
+lengths and segments (round 3); what is kept follows from the round's condition, so no qualifying pair is missed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import hashlib
+import math
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recordmill.functions.bind import let
 from recordmill.functions.text import levenshtein_ratio, name_tokens, normalize_name
 from recordmill.operators.ordering import row_numbers
-from recordmill.session import materialize
+from recordmill.session import materialize, new_path
 
 
 def _rarest(left: DataFrame, right: DataFrame, keep: Column, carry: str) -> tuple[DataFrame, DataFrame]:
@@ -62,51 +64,81 @@ def token_candidates(left: DataFrame, right: DataFrame, min_shared: int = 3) ->
     return _join(a, b, "tokens", shared.alias("shared"), shared >= min_shared)
 
 
+def most_edits(length: int, threshold: float) -> int:
+    """Most edits between names of which the longer has ``length`` characters, if their similarity is above the threshold."""
+    return max(0, math.ceil((1 - threshold) * length - 1e-9) - 1)
+
+
+def cuts(length: int, pieces: int) -> list[tuple[int, int]]:
+    """Start and length of ``pieces`` even segments of a name."""
+    ends = [length * k // pieces for k in range(pieces + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+@functools.cache
+def _partners(length: int, threshold: float) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Lengths of longer (or equal) and of shorter (or equal) names that may be similar."""
+    longer = [n for n in range(length, int(length / threshold) + 2) if n - length <= most_edits(n, threshold)]
+    shorter = [n for n in range(1, length + 1) if length - n <= most_edits(length, threshold)]
+    return tuple(longer), tuple(shorter)
+
+
+def segment_posts(name: str, threshold: float) -> tuple[set[int], set[int]]:
+    """Index entries of a name as the shorter and as the longer side of a pair.
+
+    The shorter name is cut into one segment more than edits are allowed, so one segment is untouched. It
+    stands in the longer name shifted by at most the edits before it, and by at most those after it once the difference in length is
+    taken off. Entries name both lengths, the segment's number and its characters.
+    """
+    as_short, as_long = set(), set()
+    longer, shorter = _partners(len(name), threshold)
+    for n in longer:
+        for i, (at, size) in enumerate(cuts(len(name), most_edits(n, threshold) + 1)):
+            as_short.add(hash_entry(len(name), n, i, name[at : at + size]))
+    edits = most_edits(len(name), threshold)
+    for n in shorter:
+        gap = len(name) - n
+        for i, (at, size) in enumerate(cuts(n, edits + 1)):
+            low = max(0, at - i, at + gap - (edits - i))
+            high = min(len(name) - size, at + i, at + gap + (edits - i))
+            for k in range(low, high + 1):
+                as_long.add(hash_entry(n, len(name), i, name[k : k + size]))
+    return as_short, as_long
+
+
+def hash_entry(short: int, long: int, number: int, piece: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{short}:{long}:{number}:{piece}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def edit_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> DataFrame:
     """``(l, r, sim)`` for pairs of ``(key, norm)`` rows with similarity above the threshold.
 
-    One edit changes at most two character pairs. With padded ends, names of longer length L at
-    distance d therefore share at least ``L + 1 - 2 d`` pairs, counted with repeats. A pair of
-    names is tested once, at its rarest common character pair, and the edit distance is computed
-    only if they share enough.
+    Names meet in an index of lengths and segments; every pair that meets is measured once.
     """
-    share = 2 * threshold - 1
 
-    def grams(side: DataFrame) -> DataFrame:
-        padded = F.concat(F.lit("^"), F.col("norm"), F.lit("$"))
-        pieces = F.transform(
-            F.sequence(F.lit(1), F.length("norm") + 1), lambda i: F.substring(padded, i, F.lit(2))
-        )
-        rows = side.where("norm <> ''").select("key", "norm", F.posexplode(pieces).alias("p", "g"))
-        nth = F.row_number().over(W.partitionBy("key", "g").orderBy("p"))
-        return rows.select("key", "norm", F.xxhash64("g", nth).alias("item"))
+    def posts(side: DataFrame) -> DataFrame:
+        rows = side.where("norm <> ''").select("key", "norm")
+        kind = dict(rows.dtypes)["key"]
 
-    both = [materialize(grams(side), "grams") for side in (left, right)]
-    df = both[0].select("item").unionAll(both[1].select("item")).groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                places, longs, entries = [], [], []
+                for k, name in enumerate(batch.column(1).to_pylist()):
+                    for role, found in enumerate(segment_posts(name, threshold)):
+                        places += [k] * len(found)
+                        longs += [bool(role)] * len(found)
+                        entries += found
+                columns = [batch.column(0).take(pa.array(places, pa.int64())), pa.array(longs, pa.bool_()), pa.array(entries, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "long", "entry"])
 
-    def prefix(rows: DataFrame) -> DataFrame:
-        # As many items as the name has characters, rarest first.
-        names = rows.join(df, "item").groupBy("key").agg(
-            F.any_value("norm").alias("norm"), F.sort_array(F.collect_list(F.struct("df", "item"))).alias("a")
-        )
-        names = names.select("key", "norm", F.col("a.item").alias("items"))
-        m = F.size("items")
-        keep = m - F.ceil(F.lit(share) * (m - 1) + 1 - 1e-9) + 1
-        return names.select("*", F.explode(F.slice("items", F.lit(1), keep.cast("int"))).alias("item"))
-
-    a, b = [prefix(rows) for rows in both]
-    a = a.select(F.col("key").alias("l"), "item", F.col("norm").alias("x"), F.col("items").alias("xs"))
-    b = b.select(F.col("key").alias("r"), F.col("item").alias("item_r"), F.col("norm").alias("y"), F.col("items").alias("ys"))
-    x, y = F.col("x"), F.col("y")
-    longer = F.greatest(F.length(x), F.length(y))
-    lengths = F.least(F.length(x), F.length(y)) > threshold * longer
-    needed = longer + 1 - 2 * (F.ceil((1 - threshold) * longer) - 1)
-    common = let(
-        lambda v: (F.get(v["i"], F.lit(0)) == F.col("item")) & (F.size(v["i"]) >= needed), i=F.array_intersect("xs", "ys")
-    )
-    sim = levenshtein_ratio(x, y)
-    pairs = a.join(b, (F.col("item") == F.col("item_r")) & lengths & common & (sim > threshold))
-    return pairs.select("l", "r", sim.alias("sim"))
+        return materialize(rows.mapInArrow(run, f"key {kind}, long boolean, entry bigint"), "segments")
+
+    a = posts(left).select(F.col("key").alias("l"), "entry", F.col("long").alias("long"))
+    b = posts(right).select(F.col("key").alias("r"), "entry", (~F.col("long")).alias("long"))
+    # one side as the shorter, the other as the longer one
+    met = materialize(a.join(b, ["entry", "long"]).select("l", "r").distinct(), "met")
+    names = met.join(left.select(F.col("key").alias("l"), F.col("norm").alias("x")), "l").join(right.select(F.col("key").alias("r"), F.col("norm").alias("y")), "r")
+    return names.select("l", "r", levenshtein_ratio(F.col("x"), F.col("y")).alias("sim")).where(F.col("sim") > threshold)
 
 
 def mutual_best(candidates: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -117,15 +149,18 @@ def mutual_best(candidates: DataFrame, order: Sequence[Column]) -> DataFrame:
     """
     rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("l").alias("l"), F.col("r").alias("r"))
     rest = materialize(candidates.select("l", "r", rank.alias("rank")), "candidates")
-    taken = rest.select("l", "r").limit(0)
-    while rest.limit(1).count():
+    spark = candidates.sparkSession
+    path, schema = new_path(spark, "taken"), rest.select("l", "r").schema
+    rest.select("l", "r").limit(0).write.parquet(path)
+    while not rest.isEmpty():
         by_l = rest.groupBy("l").agg(F.min("rank").alias("best")).select("l", "best.r")
         by_r = rest.groupBy("r").agg(F.min("rank").alias("best")).select("best.l", "r")
         agreed = materialize(by_l.join(by_r, ["l", "r"]), "agreed")
-        taken = taken.unionByName(agreed)
+        # every round is a file of one table, so the plan does not grow
+        agreed.write.mode("append").parquet(path)
         rest = rest.join(agreed.select("l"), "l", "left_anti").join(agreed.select("r"), "r", "left_anti")
         rest = materialize(rest, "candidates")
-    return taken
+    return spark.read.schema(schema).parquet(path)
 
 
 def fuzzy_match(
