@@ -82,6 +82,17 @@ def unassigned(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(empty, 1)).alias("n_unassigned"))
 
 
+def in_band(metrics: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFrame:
+    """Every ``metric, value`` row of a named metric with its band and whether the value is inside.
+
+    A null or missing value is outside: a metric without rows has one row with a null value. Other columns stay.
+    """
+    spark = metrics.sparkSession
+    expected = spark.createDataFrame([(m, float(a), float(b)) for m, (a, b) in bands.items()], "metric string, low double, high double")
+    inside = F.coalesce(F.col("value").between(F.col("low"), F.col("high")), F.lit(False))
+    return expected.join(metrics, "metric", "left").withColumn("inside", inside)
+
+
 def require_band(metrics: DataFrame, metric: str, low: float, high: float) -> None:
     """Raise if a value of the named metric is outside [low, high]."""
     bad = metrics.where(

@@ -67,6 +67,28 @@ def train_percentile(
     return attach(evaluated, table, [*part, score], "left")
 
 
+#: Size of a quantile sketch, and the rank error that its estimates stay within (three times its stated error at 99 percent).
+SKETCH_SIZE, SKETCH_ERROR = 400, 0.02
+
+
+def quantile_sketches(df: DataFrame, part: Sequence[str], value: str, size: int = SKETCH_SIZE) -> DataFrame:
+    """One mergeable sketch a group, of fixed size: ``part, sketch``; nulls do not count."""
+    return df.where(F.col(value).isNotNull()).groupBy(*part).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), size).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, part: Sequence[str], size: int = SKETCH_SIZE) -> DataFrame:
+    """Sketches of finer groups put together, without reading the rows again."""
+    return sketches.groupBy(*part).agg(F.kll_merge_agg_double("sketch", size).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, part: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """``part, p, value, n``: estimated quantiles, and the number of values that the sketch has seen."""
+    found = F.explode(F.array(*[
+        F.struct(F.lit(float(p)).alias("p"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias("value")) for p in probs
+    ]))
+    return sketches.select(*part, F.kll_sketch_get_n_double("sketch").alias("n"), found.alias("q")).select(*part, "q.p", "q.value", "n")
+
+
 def exact_quantiles(df: DataFrame, part: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation; ``probs`` maps output names to probabilities."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("__n"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from recordmill.plans.registry import Tables, query
 from recordmill.session import new_path
-from recordmill.sources import delimited, tables
+from recordmill.sources import delimited, tables, versions
 
 
 @query("scan_typed", "select * from customer")
@@ -171,3 +171,25 @@ def resume_pending(t: Tables):
     return tables.pending(t.documents.select("doc_id", "lang"), t.labels, ["doc_id"])
 
 
+@query(
+    "versioned_rewrite",
+    """
+    with v as (
+      select 0 as version, o_orderkey, o_orderstatus as status, o_totalprice from orders where o_orderkey % 3 > 0
+      union all select 1, o_orderkey, o_orderstatus, o_totalprice from orders
+      union all select 2, o_orderkey, case o_orderstatus when 'P' then 'O' else o_orderstatus end, o_totalprice from orders)
+    select version, status, count(*) as n, cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) as cents from v group by all
+    """,
+)
+def versioned_rewrite(t: Tables):
+    """A table, the rows that were pending appended, and a corrected rewrite: all three versions can be read."""
+    base = new_path(t.spark, "orders")
+    orders = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), "o_totalprice")
+    versions.rewrite(orders.where("o_orderkey % 3 > 0"), base)
+    versions.append_pending(orders, base, ["o_orderkey"])
+    versions.update(base, t.spark, lambda last: last.withColumn("status", F.when(F.col("status") == "P", "O").otherwise(F.col("status"))))
+    every = [versions.read(t.spark, base, n).withColumn("version", F.lit(n)) for n in versions.history(t.spark, base)]
+    rows = every[0].unionByName(every[1]).unionByName(every[2])
+    return rows.groupBy("version", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents")
+    )

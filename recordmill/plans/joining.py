@@ -321,6 +321,30 @@ def gate_complete(t: Tables):
     return gates.unassigned(t.documents.join(marked, "doc_id", "left"), "status")
 
 
+BANDS = {"mean_discount": (0.045, 0.055), "returned_share": (0.3, 0.4), "mean_tax": (0.05, 0.06)}
+
+
+@query(
+    "gate_band",
+    """
+    with m as (
+      select 'mean_discount' as metric, l_linestatus as cell, avg(l_discount) as value from lineitem group by 2
+      union all select 'returned_share', l_linestatus, avg((l_returnflag = 'R')::int) from lineitem group by 2
+      union all select 'mean_tax', l_linestatus, avg(l_tax) from lineitem group by 2),
+    b(metric, low, high) as (values ('mean_discount', 0.045::double, 0.055::double), ('returned_share', 0.3, 0.4), ('mean_tax', 0.05, 0.06))
+    select metric, cell, round(value, 6) as value, low, high, coalesce(value between low and high, false) as inside from b left join m using (metric)
+    """,
+)
+def gate_band(t: Tables):
+    """Metrics of every line status against the bands they are expected in."""
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in BANDS]))
+    found = t.lineitem.groupBy(F.col("l_linestatus").alias("cell")).agg(
+        F.avg("l_discount").alias("mean_discount"), F.avg((F.col("l_returnflag") == "R").cast("int")).alias("returned_share"), F.avg("l_tax").alias("mean_tax")
+    )
+    out = gates.in_band(found.select("cell", cells.alias("c")).select("cell", "c.metric", "c.value"), BANDS)
+    return out.withColumn("value", F.round("value", 6))
+
+
 @query(
     "verify_sample",
     f"""

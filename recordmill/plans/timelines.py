@@ -7,6 +7,7 @@ from recordmill.functions.hashing import hash_key, sql_hash
 from recordmill.operators import ranks, timeline
 from recordmill.plans.common import CATEGORIES, FIRST_SQL, GROUP, MEMBERS_SQL, TARGET, members
 from recordmill.plans.joining import LABELS_SQL
+from recordmill.session import materialize
 from recordmill.plans.registry import Tables, query
 
 EVENT_FIRST_SQL = "select user_id, event_type, min(ts) as first_ym from events where value > 150 group by all"
@@ -344,6 +345,29 @@ def score_quantiles(t: Tables):
     return out.withColumns({p: F.round(p, 6) for p in probs})
 
 
+@query(
+    "score_quantiles_sketch",
+    """
+    select l_returnflag as cell, p, count(*) as n, true as within from lineitem, (values (0.05::double), (0.25), (0.5), (0.75), (0.95)) v(p)
+    where l_extendedprice is not null group by all
+    """,
+)
+def score_quantiles_sketch(t: Tables):
+    """Quantiles from sketches of every month, merged by cell; ``within``: the exact rank is within the stated error of p."""
+    rows = t.lineitem.select(F.col("l_returnflag").alias("cell"), F.trunc("l_shipdate", "month").alias("month"), F.col("l_extendedprice").alias("v"))
+    monthly = ranks.quantile_sketches(rows, ["cell", "month"], "v")
+    found = ranks.sketch_quantiles(ranks.merged_sketches(monthly, ["cell"]), ["cell"], [0.05, 0.25, 0.5, 0.75, 0.95])
+    found = materialize(found, "quantiles")
+    # exact ranks of the few estimates, all in one aggregate
+    wanted = found.groupBy("cell").agg(F.collect_list(F.struct("p", "value", "n")).alias("qs"))
+    seen = rows.where("v is not null").join(wanted, "cell").select("cell", "v", F.explode("qs").alias("q"))
+    ranked = seen.groupBy("cell", "q.p", "q.n").agg(
+        F.avg((F.col("v") < F.col("q.value")).cast("int")).alias("below"), F.avg((F.col("v") <= F.col("q.value")).cast("int")).alias("upto")
+    )
+    error = ranks.SKETCH_ERROR
+    return ranked.select("cell", "p", "n", ((F.col("below") <= F.col("p") + error) & (F.col("upto") >= F.col("p") - error)).alias("within"))
+
+
 @query(
     "class_weights",
     """

@@ -1,11 +1,11 @@
-"""Typed scans and sinks for flat tables, resumable appends, versioned rewrites."""
+"""Typed scans and sinks for flat tables; appends and rewrites are in :mod:`recordmill.sources.versions`."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,37 +37,3 @@ def union_tagged(parts: dict[str, DataFrame], tag: str = "domain") -> DataFrame:
 def pending(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key has not been processed yet."""
     return todo.join(done.select(*keys), list(keys), "left_anti")
-
-
-def append_pending(todo: DataFrame, path: str, keys: Sequence[str], batches: int = 1) -> int:
-    """Append the rows not yet in the table at ``path``, batch by batch; returns rows appended.
-
-    A batch is a hash range of the key, so an interrupted run loses at most one batch and the
-    next run starts from what was written.
-    """
-    spark = todo.sparkSession
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    appended = 0
-    for b in range(batches):
-        chunk = todo.where(F.pmod(F.xxhash64(*keys), F.lit(batches)) == b)
-        if fs.exists(fs_path):
-            chunk = pending(chunk, spark.read.schema(todo.schema).parquet(path), keys)
-        written = Observation()
-        chunk.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
-        appended += written.get["n"]
-    return appended
-
-
-def write_version(df: DataFrame, base: str) -> str:
-    """Write a new version folder ``v=<n>``; earlier versions stay as they are."""
-    spark = df.sparkSession
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    n = 0
-    if fs.exists(root):
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        n = 1 + max([int(x[2:]) for x in names if x.startswith("v=")], default=-1)
-    path = f"{base.rstrip('/')}/v={n}"
-    df.write.parquet(path)
-    return path

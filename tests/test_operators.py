@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from recordmill.functions import dates, text
 from recordmill.operators import gates, joins, probes, protocols, resample, splits, timeline, vectors
 from recordmill.session import new_path
-from recordmill.sources import delimited, tables
+from recordmill.sources import delimited, versions
 
 
 def column(spark, values, fn, schema="x string"):
@@ -71,6 +73,8 @@ def test_join_gate(spark):
     gates.require_band(table, "auc", 0.6, 0.8)
     with pytest.raises(ValueError):
         gates.require_band(table, "auc", 0.8, 0.9)
+    bands = {(r.metric, r.inside) for r in gates.in_band(table, {"auc": (0.6, 0.8), "none": (0, 1)}).collect()}
+    assert ("auc", True) in bands and ("none", False) in bands
 
 
 @pytest.fixture(scope="module")
@@ -173,11 +177,32 @@ def test_upsert_and_improve(spark):
 def test_append_resumes_and_versions(spark):
     path = new_path(spark, "append")
     df = spark.range(100).select(F.col("id").alias("k"))
-    assert tables.append_pending(df.where("k < 40"), path, ["k"], 3) == 40
-    assert tables.append_pending(df, path, ["k"], 3) == 60
-    assert spark.read.parquet(path).distinct().count() == spark.read.parquet(path).count() == 100
+    assert versions.append_pending(df.where("k < 40"), path, ["k"], 3) == 40
+    assert versions.append_pending(df, path, ["k"], 3) == 60
+    assert versions.append_pending(df, path, ["k"], 3) == 0
+    got = versions.read(spark, path)
+    assert got.distinct().count() == got.count() == 100
     base = new_path(spark, "versions")
-    assert tables.write_version(df, base).endswith("v=0") and tables.write_version(df, base).endswith("v=1")
+    assert versions.rewrite(df, base) == 0 and versions.rewrite(df.where("k < 3"), base) == 1
+    assert versions.update(base, spark, lambda last: last.where("k > 0")) == 2
+    assert [versions.read(spark, base, n).count() for n in (0, 1, 2)] == [100, 3, 2] and versions.history(spark, base) == [0, 1, 2]
+
+
+def test_two_writers_and_a_broken_one(spark):
+    base, table = new_path(spark, "versions"), new_path(spark, "append")
+    df = spark.range(200).select(F.col("id").alias("k"))
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda n: versions.rewrite(df.where(F.col("k") < n), base), [10, 20, 30, 40]))
+        appended = list(pool.map(lambda n: versions.append_pending(df.where(F.col("k") < n), table, ["k"], 2), [100, 150, 200]))
+    assert sorted(numbers) == [0, 1, 2, 3] == versions.history(spark, base)
+    assert {n: versions.read(spark, base, v).count() for n, v in zip([10, 20, 30, 40], numbers)} == {n: n for n in (10, 20, 30, 40)}
+    got = versions.read(spark, table)
+    assert sum(appended) == 200 == got.count() == got.distinct().count()
+    before = versions.history(spark, table)
+    bad = df.withColumn("k", F.when(F.col("k") < 250, F.col("k") + 300).otherwise(0) / F.raise_error(F.lit("broken")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        versions.append_pending(bad.select(F.col("k").cast("long")), table, ["k"])
+    assert versions.history(spark, table) == before and versions.read(spark, table).count() == 200
 
 
 def test_listing_group_over_many_blocks(spark):
