@@ -69,8 +69,7 @@ def auc_both(df: DataFrame, cells: Sequence[str], score: str, label: str) -> Dat
 def roc_points(df: DataFrame, cells: Sequence[str], score: str, label: str) -> DataFrame:
     """True and false positive rate when every score at or above the threshold is positive."""
     counts = score_counts(df, cells, score, label)
-    out = running(counts, cells, [F.desc("score")], upto={"tp": "p", "fp": "n"}, store=True)
-    out = with_totals(out, cells, n_pos="p", n_neg="n")
+    out = running(counts, cells, [F.desc("score")], upto={"tp": "p", "fp": "n"}, total={"n_pos": "p", "n_neg": "n"}, store=True)
     return out.select(
         *cells, F.col("score").alias("threshold"), "tp", "fp", "n_pos", "n_neg",
         (F.col("tp") / F.nullif(F.col("n_pos"), F.lit(0))).alias("tpr"),

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recordmill.session import materialize
+from recordmill.functions.nullsafe import attach
+from recordmill.session import materialize, materialize_counted
 
 PLAIN_WINDOW_ROWS = 2_000_000
 
@@ -30,24 +31,47 @@ def running(
     before: dict[str, str] | None = None,
     upto: dict[str, str] | None = None,
     lowest: dict[str, str] | None = None,
+    size: str | None = None,
+    total: dict[str, str] | None = None,
     store: bool = False,
     plain_rows: int | None = None,
 ) -> DataFrame:
     """Add a 1-based row number, exclusive (``before``) or inclusive (``upto``) sums, or minima.
 
-    ``before``/``upto``/``lowest`` map the new column to the source column. ``order`` must be a total order
+    ``before``/``upto``/``lowest`` map the new column to the source column; ``size`` names a column for the rows of the group, ``total`` maps
+    new columns to columns summed over the whole group. ``order`` must be a total order
     inside a group wherever ``number`` is used. ``store`` writes the input first: right for a small
     aggregate over a large scan, which would otherwise be read once to count and once to order.
     """
-    if store:
-        df = materialize(df, "ordered")
-    before, upto, lowest = before or {}, upto or {}, lowest or {}
+    before, upto, lowest, total = before or {}, upto or {}, lowest or {}, total or {}
     limit = PLAIN_WINDOW_ROWS if plain_rows is None else plain_rows
-    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
-    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
-    if (largest or 0) <= limit:
-        return _within(df, list(part), order, number, before, upto, lowest)
-    return _sliced(df, list(part), order, number, before, upto, lowest, total, max(limit, 1))
+    rows = None
+    if store:
+        df, rows = materialize_counted(df, "ordered")
+    if rows is None or rows > limit:
+        sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
+        largest, rows = sizes.agg(F.max("n"), F.sum("n")).first()
+        if (largest or 0) > limit:
+            out = _sliced(df, list(part), order, number, before, upto, lowest, rows, max(limit, 1))
+            return _with_totals(out, df, list(part), size, total)
+    out = _within(df, list(part), order, number, before, upto, lowest)
+    whole = W.partitionBy(*(part or [F.lit(0)]))
+    cols = {o: F.sum(c).over(whole) for o, c in total.items()}
+    if size:
+        cols[size] = F.count(F.lit(1)).over(whole)
+    return out.withColumns(cols) if cols else out
+
+
+def _with_totals(out: DataFrame, df: DataFrame, part: list[str], size: str | None, total: dict[str, str]) -> DataFrame:
+    sums = [F.sum(c).alias(o) for o, c in total.items()] + ([F.count(F.lit(1)).alias(size)] if size else [])
+    if not sums:
+        return out
+    totals = df.groupBy(*part).agg(*sums)
+    names = [c for c in totals.columns if c not in part]
+    if part:
+        return attach(out, totals, part)
+    one = totals.select(F.struct(*names)).scalar()
+    return out.withColumn("__t", one).withColumns({c: F.col(f"__t.{c}") for c in names}).drop("__t")
 
 
 def row_numbers(

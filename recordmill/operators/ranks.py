@@ -21,16 +21,16 @@ def positions(df: DataFrame, part: Sequence[str], score: str, key: Sequence[str]
 
 
 def rank_table(
-    df: DataFrame, part: Sequence[str], value: str, descending: bool = False, weight: str | None = None
+    df: DataFrame, part: Sequence[str], value: str, descending: bool = False, weight: str | None = None, total: str | None = None
 ) -> DataFrame:
-    """One row per distinct value: count, rows before it, average-tie rank.
+    """One row per distinct value: count, rows before it, average-tie rank; ``total`` names a column for all rows of the part.
 
     Ties cost nothing here: equal values are one row before anything is ordered.
     """
     n = F.sum(weight) if weight else F.count(F.lit(1))
     distinct = df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(n.alias("n_tied"))
     order = F.desc(value) if descending else F.asc(value)
-    out = running(distinct, part, [order], before={"n_before": "n_tied"}, store=True)
+    out = running(distinct, part, [order], before={"n_before": "n_tied"}, total={total: "n_tied"} if total else None, store=True)
     return out.withColumn("avg_rank", F.col("n_before") + (F.col("n_tied") + 1) / 2)
 
 
@@ -92,13 +92,8 @@ def sketch_quantiles(sketches: DataFrame, part: Sequence[str], probs: Sequence[f
 def exact_quantiles(df: DataFrame, part: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation; ``probs`` maps output names to probabilities."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("__n"))
-    counts = materialize(counts, "values")
-    run = running(counts, part, [F.asc(value)], upto={"__upto": "__n"})
-    totals = counts.groupBy(*part).agg((F.sum("__n") - 1).alias("__last"))
-    if part:
-        run = attach(run, totals, part)
-    else:
-        run = run.withColumn("__last", totals.scalar())
+    run = running(counts, part, [F.asc(value)], upto={"__upto": "__n"}, total={"__last": "__n"}, store=True)
+    run = run.withColumn("__last", F.col("__last") - 1)
 
     def at(index: Column) -> Column:
         return F.min(F.when(F.col("__upto") > index, F.col(value)))
@@ -138,9 +133,7 @@ def top_k(df: DataFrame, part: Sequence[str], k: int, order: Sequence[Column], o
 
 def percent_ranks(df: DataFrame, part: Sequence[str], value: str, out: str = "percent_rank") -> DataFrame:
     """``rows before / (n - 1)``, ties share the lowest rank; 0 for a single row, null for a null value."""
-    table = rank_table(df, part, value)
-    totals = table.groupBy(*part).agg(F.sum("n_tied").alias("__n"))
-    table = attach(table, totals, part) if part else table.withColumn("__n", totals.scalar())
+    table = rank_table(df, part, value, total="__n")
     pr = F.when(F.col("__n") > 1, F.col("n_before") / (F.col("__n") - 1)).otherwise(F.lit(0.0))
     return attach(df, table.select(*part, value, pr.alias(out)), [*part, value], "left")
 

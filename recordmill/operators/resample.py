@@ -20,7 +20,7 @@ from recordmill.functions.nullsafe import attach
 from recordmill.functions.bind import let
 from recordmill.functions.hashing import hash_key
 from recordmill.operators import metrics
-from recordmill.operators.ordering import row_numbers, running
+from recordmill.operators.ordering import running
 from recordmill.operators.ranks import rank_table
 from recordmill.session import materialize
 
@@ -34,12 +34,8 @@ def replicates(df: DataFrame, n: int, key: Sequence[str], out: str = "b") -> Dat
 
 def unit_index(units: DataFrame, cells: Sequence[str], key: Sequence[str]) -> DataFrame:
     """0-based ``idx`` in key order inside each cell and the number of units ``n_units``."""
-    placed = row_numbers(units, cells, [F.asc(k) for k in key], "idx")
-    placed = placed.withColumn("idx", F.col("idx") - 1)
-    sizes = units.groupBy(*cells).agg(F.count(F.lit(1)).alias("n_units"))
-    if cells:
-        return attach(placed, sizes, cells)
-    return placed.withColumn("n_units", sizes.scalar())
+    placed = running(units, cells, [F.asc(k) for k in key], number="idx", size="n_units", store=True)
+    return placed.withColumn("idx", F.col("idx") - 1)
 
 
 def draw_weights(
@@ -73,7 +69,7 @@ def _counted_draws(units: DataFrame, cells: Sequence[str], key: Sequence[str], n
 
     The draws are those of :func:`draw_weights`. They travel as packed numbers to the block of places they fall into.
     """
-    indexed = materialize(unit_index(units, cells, key), "units")
+    indexed = unit_index(units, cells, key)
     if cells:
         sizes = indexed.groupBy(*cells).agg(F.max("n_units").alias("size"))
         offsets = running(sizes, [], [F.asc(c) for c in cells], before={"offset": "size"}, store=True).drop("size")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from recordmill.functions.nullsafe import attach
 from recordmill.functions.hashing import hash_key
-from recordmill.operators.ordering import row_numbers
+from recordmill.operators.ordering import row_numbers, running
 from recordmill.operators.ranks import top_k
 from recordmill.session import materialize
 
@@ -30,11 +30,7 @@ def hash_positions(
 ) -> DataFrame:
     """1-based position in hash order inside each stratum, and the stratum size ``<out>_n``."""
     hashed = df.withColumn("__h", hash_key(seed, *key))
-    placed = row_numbers(hashed, strata, [F.asc("__h"), *[F.asc(k) for k in key]], out).drop("__h")
-    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias(f"{out}_n"))
-    if strata:
-        return attach(placed, sizes, strata)
-    return placed.withColumn(f"{out}_n", sizes.scalar())
+    return running(hashed, strata, [F.asc("__h"), *[F.asc(k) for k in key]], number=out, size=f"{out}_n").drop("__h")
 
 
 def cut(position: Column, size: Column, parts: Sequence[tuple[str, float]]) -> Column:

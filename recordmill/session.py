@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
 
@@ -62,6 +63,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str = "table") -> tuple[DataFrame, int]:
+    """The same, and the number of rows, counted while they are written."""
+    rows = Observation()
+    return materialize(df.observe(rows, F.count(F.lit(1)).alias("n")), name), rows.get["n"]
+
+
 def spread(scan: DataFrame, *key: str) -> DataFrame:
     """Rehash a plain scan that has fewer tasks than there are cores; leave larger scans alone.
 
