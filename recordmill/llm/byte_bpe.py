@@ -83,7 +83,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.update(text.split(" ") if text else ())
             if len(counts) > COUNTED:
                 counts = Counter(dict(counts.most_common(COUNTED // 2)))
-    top = [(w, n) for w, n in counts.most_common(FREQUENT) if n > 1 and w]
+    top = [(w, n) for w, n in counts.most_common(2 * FREQUENT) if w]
     yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
 
@@ -93,7 +93,7 @@ def frequent_words(texts: DataFrame, pattern: str) -> list[str]:
     if share < 1:
         texts = texts.sample(share, 1)
     counted = texts.mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").collect()
+    rows = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").collect()
     cut = regex.compile(pattern)
     found: dict[str, None] = {}
     for (word,) in rows:
