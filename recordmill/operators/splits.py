@@ -7,10 +7,13 @@ holds a large share of all rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import functools
+import hashlib
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,6 +161,84 @@ def trial_side(trial: Column, group_hash: Column, seed: int, targets: dict[str,
     return cut(F.pmod(group_hash * scale + shift, F.lit(PRIME)), F.lit(PRIME), list(targets.items()))
 
 
+#: Groups and trials that a task scores at once.
+GROUP_STEP, TRIAL_STEP = 4096, 512
+
+
+def _score_trials(groups: DataFrame, domain: str, counts: list[str], targets: dict[str, float], trials: int, seed: int):
+    """Class counts of every (side, trial), whether the side has all domains, and the class counts of all groups.
+
+    A group is never multiplied by the trials: each task keeps arrays of all trials and adds its groups to them. Domains travel as
+    one bit a trial.
+    """
+
+    def draw(what: str, modulus: int) -> np.ndarray:
+        key = lambda t: int(hashlib.md5(f"{seed}:{what}:{t}".encode()).hexdigest()[:15], 16)
+        return np.array([key(t) % modulus for t in range(trials)], np.int64)
+
+    scale, shift = draw("scale", PRIME - 1) + 1, draw("shift", PRIME)
+    # the upper ends of the sides, as :func:`cut` draws them
+    ends, share = [], 0.0
+    for fraction in list(targets.values())[:-1]:
+        share += fraction
+        ends.append(int(np.floor(PRIME * round(share, 12) + 0.5)))
+    n_sides, k = len(targets), len(counts)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((n_sides, trials, k))
+        present: dict = {}
+        for batch in batches:
+            where = np.array(batch.column(0).to_pylist(), object)
+            hashes = batch.column(1).to_numpy()
+            c = np.stack([col.to_numpy() for col in batch.columns[2:]], axis=1).astype(float)
+            for g in range(0, len(hashes), GROUP_STEP):
+                part = slice(g, g + GROUP_STEP)
+                held = [(d, np.flatnonzero([x == d for x in where[part]])) for d in set(where[part].tolist())]
+                for t in range(0, trials, TRIAL_STEP):
+                    some = slice(t, t + TRIAL_STEP)
+                    place = (hashes[part, None] * scale[None, some] + shift[None, some]) % PRIME
+                    side = np.searchsorted(ends, place.ravel(), "left").reshape(place.shape)
+                    for s in range(n_sides):
+                        mask = side == s
+                        sums[s, some] += mask.T.astype(float) @ c[part]
+                        for d, rows in held:
+                            seen = present.setdefault(d, np.zeros((n_sides, trials), bool))
+                            seen[s, some] |= mask[rows].any(axis=0)
+        if present:
+            domains = list(present)
+            blobs = [np.packbits(present[d], axis=1).tobytes() for d in domains]
+            kind = batch.schema.field(0).type
+            columns = [pa.array([None, *domains], kind), pa.array([True, *[False] * len(domains)]), pa.array([sums.tobytes(), *blobs], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["domain", "total", "blob"])
+
+    def merge(key: tuple, held: pa.Table) -> pa.Table:
+        blobs = held.column("blob").to_pylist()
+        if held.column("total")[0].as_py():
+            out = sum(np.frombuffer(x, float) for x in blobs).tobytes()
+        else:
+            out = functools.reduce(np.bitwise_or, [np.frombuffer(x, np.uint8) for x in blobs]).tobytes()
+        return pa.table([held.column("domain")[:1], held.column("total")[:1], pa.array([out], pa.binary())], ["domain", "total", "blob"])
+
+    def all_domains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Trials and sides that every domain of a task's rows is in."""
+        both = None
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                bits = np.frombuffer(x, np.uint8)
+                both = bits if both is None else both & bits
+        if both is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary())], ["blob"])
+
+    kind = dict(groups.dtypes)[domain]
+    scored = groups.select(F.col(domain), F.col("__h").cast("bigint"), *[F.col(c).cast("bigint") for c in counts]).mapInArrow(partial, f"domain {kind}, total boolean, blob binary")
+    merged = materialize(scored.groupBy("domain", "total").applyInArrow(merge, f"domain {kind}, total boolean, blob binary"), "trials")
+    # of fixed size: one row of sums, and at most one row of bits for each partition
+    sums = np.frombuffer(merged.where("total").first()["blob"], float).reshape(n_sides, trials, k)
+    bits = [np.frombuffer(r.blob, np.uint8) for r in merged.where("not total").select("blob").mapInArrow(all_domains, "blob binary").collect()]
+    covered = np.unpackbits(functools.reduce(np.bitwise_and, bits).reshape(n_sides, -1), axis=1)[:, :trials].astype(bool)
+    return sums, covered, sums[:, 0].sum(axis=0)
+
+
 def balanced_search(
     records: DataFrame, group: Sequence[str], domain: str, cls: str, classes: Sequence[int],
     targets: dict[str, float], minimum: Sequence[int], trials: int, seed: int = 42,
@@ -167,8 +248,8 @@ def balanced_search(
     In each trial every group takes a side by its hash, with the target shares as probabilities.
     The deviation adds the differences between shares and targets of all sides, and between
     class shares of a side and of all rows for every side but the first. Sides but the first must
-    have at least ``minimum`` rows of each class and a group of each domain. Trials are scored by
-    aggregates only, so any number of groups works by the same rule; ties go to the smaller trial.
+    have at least ``minimum`` rows of each class and a group of each domain. Trials are scored as
+    arrays, so any number of groups works by the same rule; ties go to the smaller trial.
     Returns (group columns, split) and the deviation of the winner.
     """
     counts = [f"c{i}" for i in range(len(classes))]
@@ -176,25 +257,18 @@ def balanced_search(
         *[F.count(F.when(F.col(cls) == c, 1)).alias(n) for c, n in zip(classes, counts)]
     ).withColumn("__h", F.pmod(hash_key(seed, *group), F.lit(PRIME)))
     groups = materialize(groups, "groups")
-    of_all = groups.agg(F.count_distinct(F.struct(domain)).alias("d"), *[F.sum(c).alias(c) for c in counts]).first()
-    total = sum(of_all[c] for c in counts)
-    drawn = groups.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    drawn = drawn.withColumn("split", trial_side(F.col("trial"), F.col("__h"), seed, targets))
-    per_domain = drawn.groupBy("trial", "split", domain).agg(*[F.sum(c).alias(c) for c in counts])
-    sides = per_domain.groupBy("trial", "split").agg(F.count(F.lit(1)).alias("d"), *[F.sum(c).alias(c) for c in counts])
-    n = sum(F.col(c) for c in counts)
-    first = next(iter(targets))
-    target = F.element_at(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]), F.col("split"))
-    classwise = sum(F.abs(F.col(c) / n - of_all[c] / total) for c in counts)
-    apart = F.abs(n / total - target) + F.when(F.col("split") == first, 0.0).otherwise(classwise)
-    enough = reduce(lambda a, b: a & b, [F.col(c) >= m for c, m in zip(counts, minimum)])
-    fine = (F.col("split") == first) | (enough & (F.col("d") == of_all["d"]))
-    scored = sides.groupBy("trial").agg(
-        F.round(F.sum(apart), 9).alias("deviation"), F.bool_and(fine).alias("fine"),
-        F.count(F.when(F.col("split") != first, 1)).alias("sides"),
-    )
-    best = scored.where(F.col("fine") & (F.col("sides") == len(targets) - 1)).agg(F.min(F.struct("deviation", "trial")).alias("b")).first().b
-    if best is None:
+    names = list(targets)
+    sums, covered, totals = _score_trials(groups, domain, counts, targets, trials, seed)
+    n = sums.sum(axis=2)
+    shares = np.array([targets[x] for x in names])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        apart = np.abs(n / totals.sum() - shares[:, None])
+        classwise = np.abs(sums / n[:, :, None] - totals / totals.sum()).sum(axis=2)
+    apart[1:] += classwise[1:]
+    fine = ((sums >= np.asarray(minimum, float)).all(axis=2) & covered)[1:].all(axis=0) & (n[1:] > 0).all(axis=0)
+    if not fine.any():
         raise ValueError("no trial meets the class and domain minima")
-    chosen = groups.select(*group, trial_side(F.lit(best.trial), F.col("__h"), seed, targets).alias("split"))
-    return chosen, float(best.deviation)
+    deviation = np.where(fine, np.round(np.nansum(apart, axis=0), 9), np.inf)
+    best = int(deviation.argmin())
+    chosen = groups.select(*group, trial_side(F.lit(best), F.col("__h"), seed, targets).alias("split"))
+    return chosen, float(deviation[best])
