@@ -66,6 +66,11 @@ def _differ(n: int, num: int, den: int) -> int:
     return n * (den - num) // num
 
 
+def first_run(num: int, den: int) -> int:
+    """2 if two linked sets always have two common shingles next to each other among their first ``2 (D + 1)``, else 1."""
+    return 2 if all(2 * (_differ(n, num, den) + 1) <= n for n in range(1, 64 * den) if _differ(n, num, den)) else 1
+
+
 def longer_run(num: int, den: int) -> tuple[int, int]:
     """The run length of the second level, and the set size from which on it loses no pair."""
     k = 4 if 8 * (den - num) < num else 3
@@ -156,9 +161,11 @@ def jaccard_groups(
         again = map_batches(text, _cells, _CELL, *rule, run, bit_filter(shared))
         return materialize(again.join(shared, "region").distinct(), "members")
 
-    members = cells(texts, 2)
+    # below about 0.78 runs would lose pairs: single shingles are the cells there, and large ones are not divided
+    start = first_run(num, den)
+    members = cells(texts, start)
     large = materialize(members.groupBy("region").count().where(F.col("count") > LARGE_CELL).select("region"), "large")
-    if not large.isEmpty():
+    if start > 1 and not large.isEmpty():
         run, least = longer_run(num, den)
         crowded = members.join(large, "region")
         again = held(crowded.where(F.col("n") >= least).select(F.col("item").alias("cls")).distinct())

@@ -66,6 +66,18 @@ def test_jaccard_against_all_pairs(llm, monkeypatch):
         assert {r.doc_id: r.n_shingles for r in got} == {i: len(s) for i, s in sets.items()}
 
 
+def test_jaccard_of_small_sets_at_any_threshold(llm):
+    rng = random.Random(31)
+    texts = ["a b c d", "a b c d e", "p q r", "p q r s", "a", "a b", "", None]
+    texts += [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 7))) for _ in range(80)]
+    frame = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: shingles(t, 2) for i, t in enumerate(texts)}
+    for num, den in ((5, 10), (1, 3), (7, 10), (8, 10)):
+        links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+        got = jaccard_join.jaccard_groups(frame, size=2, num=num, den=den).collect()
+        assert {r.doc_id: r.component_id for r in got} == groups_of(links, sets)
+
+
 def test_longer_runs_lose_nothing():
     for num, den in ((9, 10), (90, 100), (8, 10), (19, 20)):
         run, least = jaccard_join.longer_run(num, den)
