@@ -29,8 +29,8 @@ from recordmill.llm.shingles import WordHashes, mix
 ROUTE, CHUNK = 1 << 20, 1 << 20
 #: Words that a task counts before it sends them on.
 VOCABULARY = 400_000
-#: Slices of a language's phrases, each of which is cut to the best before they meet.
-SLICES = 256
+#: Width of a band of scores, of which there are 1001.
+BAND = 1000
 #: A word goes by several routes from this share of a route on; at most ``MOST_HOT`` words are as frequent.
 HOT, MOST_HOT = ROUTE // 4, 1 << 16
 
@@ -264,10 +264,13 @@ def collocations(
     names = vocab.where(F.col("n") >= least).select("h", "lang", "word")
     free = materialize(free.select("ids", F.element_at("ids", 1).alias("h"), "a", "l", "r", "score").join(names, "h").drop("h", "word"), "scored")
     order = [F.col("score").desc(), F.col("a").desc()]
-    # the best of slices of a language first, so that no task orders all its phrases
-    near = free.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(SLICES)))
-    for by in (["lang", "slice"], ["lang"]):
-        near = near.withColumn("at", F.rank().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("at") <= best)
+    # scores in bands: the bands that hold the best are known from their counts, so no task orders all phrases of a language
+    banded = free.withColumn("band", F.expr(f"score div {BAND}"))
+    above = Window.partitionBy("lang").orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counted = banded.groupBy("lang", "band").agg(F.count("*").alias("m")).withColumn("above", F.coalesce(F.sum("m").over(above), F.lit(0)))
+    lowest = counted.where(F.col("above") < best).groupBy("lang").agg(F.min("band").alias("lowest"))
+    near = banded.join(lowest, "lang").where(F.col("band") >= F.col("lowest"))
+    near = near.withColumn("at", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("at") <= best)
     near = near.select(F.monotonically_increasing_id().alias("row"), "ids", "lang", "a", "l", "r", "score")
     near = materialize(near, "near-best")
     spelt = near.select("row", F.posexplode("ids").alias("at", "h")).join(names.select("h", "word"), "h")
