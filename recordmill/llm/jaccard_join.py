@@ -29,8 +29,9 @@ from recordmill.llm.shingles import mix, shingle_set, words
 LARGE_CELL = 64
 
 #: Longs of the parity sketch of a set: bit ``i`` tells whether an odd number of shingles fall to it. Two sets differ
-#: in at least as many shingles as their sketches in bits.
-SKETCH = 4
+#: in at least as many shingles as their sketches in bits. Unrelated sets differ in about half the bits, so 1,024 bits tell them
+#: apart up to some 5,000 shingles at 0.9; larger ones are measured.
+SKETCH = 16
 _SKETCH = [f"s{i}" for i in range(SKETCH)]
 
 _CLASS = "id bigint, row bigint, n bigint, cls bigint, chk bigint, " + ", ".join(f"{c} bigint" for c in _SKETCH)

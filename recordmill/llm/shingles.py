@@ -19,7 +19,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Hashes of words, remembered; forgets everything once ``limit`` words are held."""
 
-    limit = 1 << 19
+    limit = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
