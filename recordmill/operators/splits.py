@@ -126,12 +126,16 @@ def sample_per_stratum(df: DataFrame, strata: Sequence[str], key: Sequence[str],
 def shuffle_values(
     df: DataFrame, part: Sequence[str], key: Sequence[str], value: str, seed: int, out: str
 ) -> DataFrame:
-    """Permute a column inside each part: two hash orders joined on position."""
+    """Permute a column inside each part: two hash orders joined on position.
+
+    Both sides have every row. They are merged, as rows that were multiplied before look small to the planner, which
+    would send one side to all tasks by way of the driver.
+    """
     rows = hash_positions(df, part, seed, key, "__to").drop("__to_n")
     values = hash_positions(df, part, seed + 1, key, "__to").select(
         *part, "__to", F.col(value).alias(out)
     )
-    return attach(rows, values, [*part, "__to"]).drop("__to")
+    return attach(rows, values.hint("merge"), [*part, "__to"]).drop("__to")
 
 
 def domain_combinations(domains: Sequence[str], sizes: Sequence[int]) -> list[tuple[str, ...]]:
