@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,3 +119,35 @@ def shingle_hashes(text: Column | str, k: int = 3) -> Column:
 
     # Bound, so that the text is split once and not once per run.
     return F.array_distinct(let(lambda v: runs(v["words"]), words=words))
+
+
+#: Characters counted at once; a table of counts has a place for every code point.
+COUNTED = 1 << 20
+
+
+def count_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(name, ch, n)``: how often each character stands in the texts of a name, from rows ``(name, text)``."""
+
+    def count(found: dict, name, texts: list[str]) -> None:
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        for at in range(0, len(codes), COUNTED):
+            times = np.bincount(codes[at : at + COUNTED])
+            found.setdefault(name, Counter()).update({c: int(times[c]) for c in np.flatnonzero(times).tolist()})
+
+    for batch in batches:
+        found: dict = {}
+        held: dict = {}
+        for name, one in zip(batch.column(0).to_pylist(), batch.column(1)):
+            texts, size = held.pop(name, ([], 0))
+            texts.append(one.as_py())
+            size += len(texts[-1])
+            if size >= COUNTED:
+                count(found, name, texts)
+            else:
+                held[name] = texts, size
+        for name, (texts, _) in held.items():
+            count(found, name, texts)
+        rows = [(name, chr(c), n) for name, mine in found.items() for c, n in mine.items()]
+        columns = [[r[k] for r in rows] for k in range(3)]
+        types = [batch.schema.field(0).type, pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["lang", "ch", "n"])

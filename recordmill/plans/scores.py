@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from recordmill.functions import text
 from recordmill.functions.hashing import sql_hash
 from recordmill.operators import metrics, ranks
 from recordmill.plans.registry import Tables, query
@@ -384,16 +385,10 @@ def fisher_2x2(t: Tables):
     """,
 )
 def js_divergence(t: Tables):
-    # Letters are counted inside each text first; one row per (language, letter) leaves the scan.
-    low = F.col("low")
-    letters = F.filter(F.array_distinct(F.split(F.regexp_replace(low, r"[^\p{L}]", ""), "")), lambda ch: ch != "")
-    per_text = F.explode(
-        F.transform(
-            letters,
-            lambda ch: F.struct(ch.alias("ch"), (F.length(low) - F.length(F.replace(low, ch, F.lit("")))).alias("n")),
-        )
-    )
-    counts = t.texts.select("lang", F.lower("text").alias("low")).select("lang", per_text.alias("x")).groupBy("lang", "x.ch").agg(F.sum("x.n").alias("n"))
+    # Characters are counted in the texts' batches; what a letter is and lower case stay with Spark.
+    low = t.texts.select("lang", F.lower("text").alias("low")).where("low is not null")
+    chars = low.mapInArrow(text.count_characters, f"lang {dict(low.dtypes)['lang']}, ch string, n bigint")
+    counts = chars.groupBy("lang", "ch").agg(F.sum("n").alias("n")).where(F.col("ch").rlike(r"^\p{L}$"))
     # One side per language: its own letters against those of all other languages.
     total = counts.groupBy("ch").agg(F.sum("n").alias("all_n"))
     langs = counts.agg(F.collect_set("lang")).scalar()
