@@ -64,12 +64,12 @@ RANDOM_ARM_SQL = f"""
 STRATA = ["domain", "multi_category", "target_plus_other"]
 
 
-def grouped_arm(df):
-    return splits.split_grouped(df, GROUP, STRATA, SEEDS).select("seed", *GROUP, "record_id", "split")
+def grouped_arm(df, *keep):
+    return splits.split_grouped(df, GROUP, STRATA, SEEDS).select("seed", *GROUP, "record_id", "split", *keep)
 
 
-def random_arm(df):
-    return splits.split_halves(df, STRATA, ["record_id"], SEEDS).select("seed", *GROUP, "record_id", "split")
+def random_arm(df, *keep):
+    return splits.split_halves(df, STRATA, ["record_id"], SEEDS).select("seed", *GROUP, "record_id", "split", *keep)
 
 
 @query("split_grouped", GROUPED_SQL)

@@ -32,16 +32,21 @@ ARM_AUC_SQL = sql_auc(
 
 def arm_aucs(t: Tables):
     rows = materialize(inherited(t), "inherited")
-    arms = grouped_arm(rows).withColumn("arm", F.lit("grouped")).unionByName(
-        random_arm(rows).withColumn("arm", F.lit("random"))
+    own = ["target_plus_other", "price", "yr"]
+    arms = grouped_arm(rows, *own).withColumn("arm", F.lit("grouped")).unionByName(
+        random_arm(rows, *own).withColumn("arm", F.lit("random"))
     )
-    scores = rows.select(
-        "record_id", F.col("target_plus_other").alias("label"), "price", F.col("yr").cast("double").alias("recency"),
+    scores = F.struct(
+        F.col("target_plus_other").alias("label"), "price", F.col("yr").cast("double").alias("recency"),
         F.pmod(hash_key(31, "record_id"), F.lit(1000)).cast("double").alias("noise"),
         F.pmod(hash_key(32, *GROUP), F.lit(1000)).cast("double").alias("density"),
     )
-    # Join first, then spread the candidates: one wide row per record and split crosses the shuffle.
-    wide = arms.select(*CELLS, "record_id", "split").join(scores, "record_id")
+    # A record has its scores at hand; only one that repeats meets the scores of all its rows.
+    repeated = rows.where("record_id is not null").groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = materialize(repeated.select("record_id"), "repeated")
+    every = rows.join(repeated, "record_id").groupBy("record_id").agg(F.collect_list(scores).alias("every"))
+    found = arms.where("record_id is not null").join(materialize(every, "scores"), "record_id", "left")
+    wide = found.select(*CELLS, "split", F.explode(F.coalesce("every", F.array(scores))).alias("s")).select(*CELLS, "split", "s.*")
     long = wide.unpivot([*CELLS, "split", "label"], ["price", "recency", "noise", "density"], "candidate", "score")
     out = metrics.auc(long, [*CELLS, "split", "candidate"], "score", "label")
     return materialize(_r(out, "auc"), "aucs")
