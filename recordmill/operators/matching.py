@@ -2,18 +2,16 @@
 
 Round 1 pairs equal normalised names. Round 2 takes pairs with at least three shared tokens and a
 similarity above 0.7, round 3 any remaining pair above 0.6. Similarity is one minus the edit
-distance over the longer length. Candidates come from the rarest tokens of each name (round 2) or from an index of
-lengths and segments (round 3); what is kept follows from the round's condition, so no qualifying pair is missed.
+distance over the longer length. Candidates come from the rarest tokens of each name (round 2) or are all names of
+a length that may be similar (round 3); what is kept follows from the round's condition, so no qualifying pair is missed.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +20,9 @@ from recordmill.functions.text import levenshtein_ratio, name_tokens, normalize_
 from recordmill.operators.ordering import row_numbers
 from recordmill.session import materialize, new_path
 
+#: Parts to which the names of one length are dealt, so that one common length is no single task's work.
+PARTS = 8
+
 
 def _rarest(left: DataFrame, right: DataFrame, keep: Column, carry: str) -> tuple[DataFrame, DataFrame]:
     """Rows ``(key, item, carry)`` of both sides reduced to each name's rarest items.
@@ -69,12 +70,6 @@ def most_edits(length: int, threshold: float) -> int:
     return max(0, math.ceil((1 - threshold) * length - 1e-9) - 1)
 
 
-def cuts(length: int, pieces: int) -> list[tuple[int, int]]:
-    """Start and length of ``pieces`` even segments of a name."""
-    ends = [length * k // pieces for k in range(pieces + 1)]
-    return [(a, b - a) for a, b in zip(ends, ends[1:])]
-
-
 @functools.cache
 def _partners(length: int, threshold: float) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """Lengths of longer (or equal) and of shorter (or equal) names that may be similar."""
@@ -83,62 +78,23 @@ def _partners(length: int, threshold: float) -> tuple[tuple[int, ...], tuple[int
     return tuple(longer), tuple(shorter)
 
 
-def segment_posts(name: str, threshold: float) -> tuple[set[int], set[int]]:
-    """Index entries of a name as the shorter and as the longer side of a pair.
-
-    The shorter name is cut into one segment more than edits are allowed, so one segment is untouched. It
-    stands in the longer name shifted by at most the edits before it, and by at most those after it once the difference in length is
-    taken off. Entries name both lengths, the segment's number and its characters.
-    """
-    as_short, as_long = set(), set()
-    longer, shorter = _partners(len(name), threshold)
-    for n in longer:
-        for i, (at, size) in enumerate(cuts(len(name), most_edits(n, threshold) + 1)):
-            as_short.add(hash_entry(len(name), n, i, name[at : at + size]))
-    edits = most_edits(len(name), threshold)
-    for n in shorter:
-        gap = len(name) - n
-        for i, (at, size) in enumerate(cuts(n, edits + 1)):
-            low = max(0, at - i, at + gap - (edits - i))
-            high = min(len(name) - size, at + i, at + gap + (edits - i))
-            for k in range(low, high + 1):
-                as_long.add(hash_entry(n, len(name), i, name[k : k + size]))
-    return as_short, as_long
-
-
-def hash_entry(short: int, long: int, number: int, piece: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{short}:{long}:{number}:{piece}".encode(), digest_size=8).digest(), "little", signed=True)
-
-
 def edit_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> DataFrame:
     """``(l, r, sim)`` for pairs of ``(key, norm)`` rows with similarity above the threshold.
 
-    Names meet in an index of lengths and segments; every pair that meets is measured once.
+    Names of lengths that may be similar meet once, and the pair is measured where it meets: a similarity this low leaves
+    segments of two or three characters, under which a pair of names met many times over.
     """
-
-    def posts(side: DataFrame) -> DataFrame:
-        rows = side.where("norm <> ''").select("key", "norm")
-        kind = dict(rows.dtypes)["key"]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                places, longs, entries = [], [], []
-                for k, name in enumerate(batch.column(1).to_pylist()):
-                    for role, found in enumerate(segment_posts(name, threshold)):
-                        places += [k] * len(found)
-                        longs += [bool(role)] * len(found)
-                        entries += found
-                columns = [batch.column(0).take(pa.array(places, pa.int64())), pa.array(longs, pa.bool_()), pa.array(entries, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "long", "entry"])
-
-        return materialize(rows.mapInArrow(run, f"key {kind}, long boolean, entry bigint"), "segments")
-
-    a = posts(left).select(F.col("key").alias("l"), "entry", F.col("long").alias("long"))
-    b = posts(right).select(F.col("key").alias("r"), "entry", (~F.col("long")).alias("long"))
-    # one side as the shorter, the other as the longer one
-    met = materialize(a.join(b, ["entry", "long"]).select("l", "r").distinct(), "met")
-    names = met.join(left.select(F.col("key").alias("l"), F.col("norm").alias("x")), "l").join(right.select(F.col("key").alias("r"), F.col("norm").alias("y")), "r")
-    return names.select("l", "r", levenshtein_ratio(F.col("x"), F.col("y")).alias("sim")).where(F.col("sim") > threshold)
+    lengths = right.where("norm <> ''").select(F.length("norm").alias("n")).distinct()
+    partners = F.udf(lambda n: sorted(set().union(*_partners(n, threshold))), "array<int>")
+    # the lengths are few; the larger lists of names with one length are dealt to parts
+    meets = lengths.select("n", F.explode(partners("n")).alias("length"))
+    salt = F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")
+    a = left.where("norm <> ''").select(F.col("key").alias("l"), F.col("norm").alias("x"), F.length("norm").alias("length"), salt.alias("part"))
+    b = right.where("norm <> ''").select(F.col("key").alias("r"), F.col("norm").alias("y"), F.length("norm").alias("n")).join(meets, "n")
+    b = b.select("r", "y", "length", F.explode(F.array(*[F.lit(i) for i in range(PARTS)])).alias("part"))
+    sim = levenshtein_ratio(F.col("x"), F.col("y"))
+    met = a.join(b.hint("merge"), (a.length == b.length) & (a.part == b.part) & (sim > threshold))
+    return met.select("l", "r", sim.alias("sim"))
 
 
 def mutual_best(candidates: DataFrame, order: Sequence[Column]) -> DataFrame:
