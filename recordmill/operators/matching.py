@@ -89,8 +89,8 @@ def edit_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.6) -
     # the lengths are few; the larger lists of names with one length are dealt to parts
     meets = lengths.select("n", F.explode(partners("n")).alias("length"))
     salt = F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")
-    a = left.where("norm <> ''").select(F.col("key").alias("l"), F.col("norm").alias("x"), F.length("norm").alias("length"), salt.alias("part"))
-    b = right.where("norm <> ''").select(F.col("key").alias("r"), F.col("norm").alias("y"), F.length("norm").alias("n")).join(meets, "n")
+    a = left.where("norm <> '' and key is not null").select(F.col("key").alias("l"), F.col("norm").alias("x"), F.length("norm").alias("length"), salt.alias("part"))
+    b = right.where("norm <> '' and key is not null").select(F.col("key").alias("r"), F.col("norm").alias("y"), F.length("norm").alias("n")).join(meets, "n")
     b = b.select("r", "y", "length", F.explode(F.array(*[F.lit(i) for i in range(PARTS)])).alias("part"))
     sim = levenshtein_ratio(F.col("x"), F.col("y"))
     met = a.join(b.hint("merge"), (a.length == b.length) & (a.part == b.part) & (sim > threshold))
