@@ -25,11 +25,21 @@ from recordmill.operators.ranks import rank_table
 from recordmill.session import materialize
 
 
-def replicates(df: DataFrame, n: int, key: Sequence[str], out: str = "b") -> DataFrame:
-    """Every row once per replicate. Rows are spread by key first, before they multiply."""
+#: Rows times replicates that are worked on at once where replicates go in turns.
+TURN_ROWS = 1 << 25
+
+
+def turns(rows: int, n: int) -> Iterator[range]:
+    """The replicates 0 to ``n - 1`` in turns of at most ``TURN_ROWS`` rows, one replicate at least."""
+    step = max(1, min(n, TURN_ROWS // max(1, rows)))
+    return (range(at, min(at + step, n)) for at in range(0, n, step))
+
+
+def replicates(df: DataFrame, n: int, key: Sequence[str], out: str = "b", first: int = 0) -> DataFrame:
+    """Every row once per replicate, from number ``first`` on. Rows are spread by key first, before they multiply."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = df.repartition(parts, *key)
-    return spread.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return spread.withColumn(out, F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))))
 
 
 def unit_index(units: DataFrame, cells: Sequence[str], key: Sequence[str]) -> DataFrame:

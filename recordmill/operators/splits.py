@@ -14,11 +14,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordmill.functions.nullsafe import attach
 from recordmill.functions.hashing import hash_key
+from recordmill.operators import ordering
 from recordmill.operators.ordering import row_numbers, running
 from recordmill.operators.ranks import top_k
 from recordmill.session import materialize
@@ -123,14 +126,26 @@ def sample_per_stratum(df: DataFrame, strata: Sequence[str], key: Sequence[str],
     return top_k(hashed, strata, n, [F.asc("__h"), *[F.asc(k) for k in key]], "__r").drop("__h", "__r")
 
 
+#: Columns that a task holds for a whole part have one of these types, so that its rows bound its size.
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+
+
 def shuffle_values(
     df: DataFrame, part: Sequence[str], key: Sequence[str], value: str, seed: int, out: str
 ) -> DataFrame:
-    """Permute a column inside each part: two hash orders joined on position.
+    """Permute a column inside each part: the value at a position of one hash order goes to the row at that position of another.
 
-    Both sides have every row. They are merged, as rows that were multiplied before look small to the planner, which
+    Parts that a window may hold are sent to one task each, once, and put in order there. Rows of larger parts, or of unbounded width,
+    and their values are numbered apart and merged, as rows that were multiplied before look small to the planner, which
     would send one side to all tasks by way of the driver.
     """
+    narrow = all(isinstance(f.dataType, FIXED_WIDTH) for f in df.schema if f.name not in part)
+    if part and narrow:
+        largest = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if (largest or 0) <= ordering.PLAIN_WINDOW_ROWS:
+            hashed = df.withColumns({"__h0": hash_key(seed, *key), "__h1": hash_key(seed + 1, *key)})
+            schema = T.StructType([*df.schema.fields, T.StructField(out, df.schema[value].dataType)])
+            return hashed.groupBy(*part).applyInArrow(lambda held: _shuffled(held, key, value, out), schema)
     rows = hash_positions(df, part, seed, key, "__to").drop("__to_n")
     values = hash_positions(df, part, seed + 1, key, "__to").select(
         *part, "__to", F.col(value).alias(out)
@@ -138,6 +153,21 @@ def shuffle_values(
     return attach(rows, values.hint("merge"), [*part, "__to"]).drop("__to")
 
 
+def _shuffled(held: pa.Table, key: Sequence[str], value: str, out: str) -> pa.Table:
+    """The rows of one part with the value that the second hash order has where the first has the row."""
+
+    def order(h: str) -> np.ndarray:
+        hashes = held[h].to_numpy()
+        at = np.argsort(hashes, kind="stable")
+        if (hashes[at[1:]] == hashes[at[:-1]]).any():
+            at = pc.sort_indices(held, [(c, "ascending") for c in (h, *key)], null_placement="at_start").to_numpy()
+        return at
+
+    taken = np.empty(held.num_rows, np.int64)
+    taken[order("__h0")] = order("__h1")
+    return held.drop_columns(["__h0", "__h1"]).append_column(out, held[value].combine_chunks().take(pa.array(taken)))
+
+
 def domain_combinations(domains: Sequence[str], sizes: Sequence[int]) -> list[tuple[str, ...]]:
     return [c for k in sizes for c in combinations(sorted(domains), k)]
 

@@ -7,7 +7,7 @@ from recordmill.operators import metrics, resample, splits
 from recordmill.plans.common import GROUP, MEMBERS_SQL, members
 from recordmill.plans.registry import Tables, query
 from recordmill.plans.scores import MULTI_SQL, _r, sql_auc
-from recordmill.session import materialize
+from recordmill.session import materialize, materialize_only
 
 B = 50
 # Records with a score and a group-constant label: the group ever had an order above 480000.
@@ -241,17 +241,29 @@ SHUFFLED_NULL_SQL = f"""
 
 @query("shuffled_null", SHUFFLED_NULL_SQL)
 def shuffled_null(t: Tables):
-    """Rank correlation of the yearly AUC profiles of two scores beside its distribution under shuffled labels."""
+    """Rank correlation of the yearly AUC profiles of two scores beside its distribution under shuffled labels.
+
+    Replicates go in turns of bounded size, and what a turn wrote is deleted after it: only AUCs stay.
+    """
     rows = t.orders.select(
         "o_orderkey", F.year("o_orderdate").alias("yr"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("label"),
         F.col("o_totalprice").alias("price"), F.dayofyear("o_orderdate").cast("double").alias("day"),
     )
-    spread = resample.replicates(rows, SHUFFLES, ["o_orderkey"])
-    shuffled = splits.shuffle_values(spread, ["b", "yr"], ["b", "o_orderkey"], "label", 108, "shuffled")
-    real = rows.select(F.lit(-1).alias("b"), "yr", F.col("label").alias("shuffled"), "price", "day")
-    both = real.unionByName(shuffled.select("b", "yr", "shuffled", "price", "day"))
-    long = both.unpivot(["b", "yr", "shuffled"], ["price", "day"], "candidate", "v")
-    aucs = metrics.auc(long, ["b", "candidate", "yr"], "v", "shuffled")
+    aucs = None
+    for some in resample.turns(rows.count(), SHUFFLES):
+
+        def turn(some: range = some):
+            spread = resample.replicates(rows, len(some), ["o_orderkey"], first=some[0])
+            shuffled = splits.shuffle_values(spread, ["b", "yr"], ["b", "o_orderkey"], "label", 108, "shuffled")
+            both = shuffled.select("b", "yr", "shuffled", "price", "day")
+            if some[0] == 0:
+                real = rows.select(F.lit(-1).alias("b"), "yr", F.col("label").alias("shuffled"), "price", "day")
+                both = real.unionByName(both)
+            long = both.unpivot(["b", "yr", "shuffled"], ["price", "day"], "candidate", "v")
+            return metrics.auc(long, ["b", "candidate", "yr"], "v", "shuffled")
+
+        found = materialize_only(t.spark, turn, "aucs")
+        aucs = found if aucs is None else aucs.unionByName(found)
     wide = aucs.groupBy("b", "yr").agg(
         F.max(F.when(F.col("candidate") == "price", F.col("auc"))).alias("x"),
         F.max(F.when(F.col("candidate") == "day", F.col("auc"))).alias("y"),
